@@ -9,6 +9,7 @@ MODULES = {
     "op4_substring_dedup": "substrings",
     "op5_mixing": "mixing",
     "op6_sharding": "sharding",
+    "op8_minhash_near_dedup": "minhash",
 }
 
 
