@@ -10,6 +10,7 @@ MODULES = {
     "op4_substring_dedup": "substrings",
     "op5_mixing": "mixing",
     "op6_sharding": "sharding",
+    "op7_nearest_neighbours": "descent",
     "op8_minhash_near_dedup": "minhash",
 }
 
