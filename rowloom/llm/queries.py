@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name and the module that defines a function of that name; a module may also define SQL.
 MODULES = {
     "op1_embedding_near_dedup": "multiindex",
+    "op2_sentencepiece": "pieces",
     "op4_substring_dedup": "substrings",
     "op5_mixing": "mixing",
     "op6_sharding": "sharding",
