@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .minhash import grouped
-from .scratch import store
+from .scratch import store, together
 from .substrings import LAST
 from .vectors import CENTROIDS, as_matrix, codebook, distinct_vectors, sampled, squared
 
@@ -94,14 +94,14 @@ def build_graph(points: DataFrame, width: int) -> DataFrame:
     cells = store(points.select("id", "vec").mapInArrow(lambda it: put(it, centres, width), "cell long, id long, vec binary"), "graph-cells")
     blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = cells.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("cell", "block", "id", "vec").repartition("cell", "block").sortWithinPartitions("cell", "block")
+    dealt = together(dealt.select("cell", "block", "id", "vec"), ["cell", "block"])
     graph = dealt.mapInArrow(lambda it: nearest_inside(it, width), "u long, v long, d double").groupBy("u", "v").agg(F.min("d").alias("d"))
     graph = store(nearest(graph, "u", DEGREE), "graph")
     for _ in range(ROUNDS):
         limits = points.select("id", "vec").join(graph.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") == DEGREE, F.max("d")).alias("limit")), "id", "left")
         around = graph.select(F.col("u").alias("centre"), F.col("v").alias("id")).unionByName(nearest(graph, "v", DEGREE).select(F.col("v").alias("centre"), F.col("u").alias("id"))).distinct()
         dealt = around.join(limits.withColumn("limit", F.coalesce("limit", F.lit(float("inf")))), "id").select("centre", "id", "vec", "limit")
-        dealt = dealt.repartition("centre").sortWithinPartitions("centre")
+        dealt = together(dealt, ["centre"])
         offers = dealt.mapInArrow(lambda it: join_around(it, width), "u long, v long, d double")
         graph = store(nearest(graph.unionByName(offers).groupBy("u", "v").agg(F.min("d").alias("d")), "u", DEGREE), "graph")
     return graph
@@ -144,7 +144,7 @@ def search_graph(graph: DataFrame, points: DataFrame, queries: DataFrame, width:
         none = lambda c: F.lit(None).cast(state.schema[c].dataType).alias(c)
         rows = state.select("query", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("node"), "vec", "ids", "ds", "done")
         rows = rows.unionByName(met.join(vectors, "node").select("query", F.lit(1).alias("kind"), "node", "vec", none("ids"), none("ds"), none("done")))
-        rows = rows.repartition("query").sortWithinPartitions("query", "kind")
+        rows = together(rows, ["query"], "kind")
         state = store(rows.mapInArrow(lambda it: step(it, width), STATE), "search")
         if state.where(F.size("front") > 0).isEmpty():
             return state.select("query", "ids", "ds")

@@ -8,7 +8,7 @@ worth a look, and these are verified by the exact Jaccard similarity of the sets
 
 Exact copies are one text throughout. A bucket's texts are compared in blocks of at most BLOCK, each pair of blocks by
 itself, and yield a spanning forest of likely links instead of all pairs; once these are verified and joined, a second
-pass yields every likely link between texts that are still apart. Nothing is capped.
+pass verifies, in the bucket, every likely link between texts that are still apart. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import store
+from .scratch import store, together
 from .substrings import LAST, keys
 from .words import Words, lists, mix64, numbers, pieces, windows
 
@@ -133,39 +133,33 @@ def grouped(batches, names: list[str]):
         yield whole()
 
 
-def likely_links(batches, apart: bool):
-    """Likely links within buckets: a spanning forest, or, with ``apart``, all between different components.
+def likely(marks: np.ndarray, block: np.ndarray, split: bool, x: int, rest: np.ndarray) -> np.ndarray:
+    """Which of ``rest`` may be similar to x; where two blocks meet, links within one are left to that block alone."""
+    hit = (marks[rest] == marks[x]).sum(axis=1, dtype=np.int64) >= LIKELY
+    return hit & (block[rest] != block[x]) if split else hit
 
-    In a pair of different blocks, links within a block are left to that block's own comparison."""
+
+def _bucket(b: pa.RecordBatch):
+    marks = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SIZE)
+    return b.column("id").to_numpy(), marks, b.column("block").to_numpy(), b.column("i")[0] != b.column("j")[0]
+
+
+def forest(batches):
+    """(a, b): a spanning forest of the likely links of each bucket, as found from the least id on."""
     out_a, out_b, size = [], [], 0
     for b in grouped(batches, ["band", "i", "j"]):
-        if b.num_rows < 2:
-            continue
-        ids = b.column("id").to_numpy()
-        own = b.column("component").to_numpy() if apart else None
-        if apart and (own == own[0]).all():
-            continue
-        marks = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, SIZE)
-        left = np.arange(len(ids))
-        if apart:
-            for x in range(len(ids) - 1):
-                rest = x + 1 + np.flatnonzero(own[x + 1 :] != own[x])
-                hit = rest[(marks[rest] == marks[x]).sum(axis=1, dtype=np.int64) >= LIKELY]
-                out_a.append(np.full(len(hit), ids[x]))
-                out_b.append(ids[hit])
-                size += len(hit)
-        else:
-            queue: list[int] = []
-            while len(left):
-                if not queue:
-                    queue, left = [int(left[0])], left[1:]
-                x = queue.pop()
-                hit = (marks[left] == marks[x]).sum(axis=1, dtype=np.int64) >= LIKELY
-                found, left = left[hit], left[~hit]
-                queue += found.tolist()
-                out_a.append(np.full(len(found), ids[x]))
-                out_b.append(ids[found])
-                size += len(found)
+        ids, marks, block, split = _bucket(b)
+        left, queue = np.arange(len(ids)), []
+        while len(left):
+            if not queue:
+                queue, left = [int(left[0])], left[1:]
+            x = queue.pop()
+            hit = likely(marks, block, split, x, left)
+            found, left = left[hit], left[~hit]
+            queue += found.tolist()
+            out_a.append(np.full(len(found), ids[x]))
+            out_b.append(ids[found])
+            size += len(found)
         if size > 20_000:
             yield _pairs(out_a, out_b)
             out_a, out_b, size = [], [], 0
@@ -173,6 +167,51 @@ def likely_links(batches, apart: bool):
         yield _pairs(out_a, out_b)
 
 
+def apart(batches):
+    """(band, i, j, id) of texts with a likely link to another component in their bucket."""
+    for b in grouped(batches, ["band", "i", "j"]):
+        ids, marks, block, split = _bucket(b)
+        own = b.column("component").to_numpy()
+        keep = np.zeros(len(ids), bool)
+        for x in range(len(ids) - 1):
+            rest = x + 1 + np.flatnonzero(own[x + 1 :] != own[x])
+            if len(rest) and len(hit := rest[likely(marks, block, split, x, rest)]):
+                keep[x] = True
+                keep[hit] = True
+        if keep.any():
+            yield b.filter(pa.array(keep)).select(["band", "i", "j", "id"])
+
+
+def verified_links(batches):
+    """(a, b): links between different components, verified by sets, as many as join them. A pair is looked at in the
+    first band it shares."""
+    for b in grouped(batches, ["band", "i", "j"]):
+        ids, marks, block, split = _bucket(b)
+        root = b.column("component").to_numpy().copy()
+        bands = np.array(b.column("bands").to_pylist(), np.int64)
+        turn = int(np.flatnonzero(bands[0] == b.column("band")[0].as_py())[0])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("set")]
+        out_a, out_b = [], []
+        for x in range(len(ids) - 1):
+            rest = x + 1 + np.flatnonzero(root[x + 1 :] != root[x])
+            rest = rest[likely(marks, block, split, x, rest)]
+            rest = rest[~(bands[rest, :turn] == bands[x, :turn]).any(axis=1)]
+            if not len(rest):
+                continue
+            size = np.array([len(sets[r]) for r in rest])
+            every = np.concatenate([sets[r] for r in rest])
+            own = sets[x]
+            same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            both = np.add.reduceat(same.astype(np.int64), np.cumsum(size) - size)
+            for r in rest[both >= SIMILAR * (len(own) + size - both) - 1e-9]:
+                if root[r] != root[x]:
+                    out_a.append(np.array([ids[x]]))
+                    out_b.append(np.array([ids[r]]))
+                    root[root == root[r]] = root[x]
+        if out_a:
+            yield _pairs(out_a, out_b)
+
+
 def _pairs(a, b) -> pa.RecordBatch:
     a, b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -198,12 +237,12 @@ def classes(docs: DataFrame) -> DataFrame:
     found = seen.where("n > 0").groupBy("digest").agg(F.min(F.struct("rank", "key")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     texts = store(found.select(F.monotonically_increasing_id().alias("id"), "digest", "at.rank", "at.key", "bands", "sketch"), "minhash-texts")
     rows = texts.select("id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = store(rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "minhash-bands")
     members = rows.join(shared, "band").join(texts.select("id", "sketch"), "id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = store(members.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "sketch"), "minhash-members")
+    members = store(members.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "sketch"), "minhash-members")
     needed = members.select("id").distinct().join(texts, "id").select("id", "rank", "key")
     sets = store(keys(docs).join(needed, ["rank", "key"]).select("id", "text").mapInArrow(shingle_sets, "id long, set binary").dropDuplicates(["id"]), "minhash-sets")
 
@@ -211,16 +250,17 @@ def classes(docs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
         return pairs.join(one, "a").join(two, "b").mapInArrow(similar, "a long, b long")
 
-    def look(rows: DataFrame, apart: bool) -> DataFrame:
-        dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-        return dealt.mapInArrow(lambda it: likely_links(it, apart), "a long, b long").distinct()
+    def dealt(rows: DataFrame) -> DataFrame:
+        return together(rows, ["band", "i", "j"], "id")
 
-    tried = store(look(members, False), "minhash-forest")
-    links = store(verified(tried), "minhash-links")
-    parts = store(components(links), "minhash-parts")
-    labelled = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    links = store(verified(dealt(members).mapInArrow(forest, "a long, b long").distinct()), "minhash-links")
+    parts = store(components(links), "minhash-parts").withColumnRenamed("node", "id")
+    labelled = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("band", "i", "j").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").drop("mixed")
-    more = store(verified(look(labelled.join(mixed, ["band", "i", "j"]), True).join(tried, ["a", "b"], "left_anti")), "minhash-links")
+    labelled = labelled.join(mixed, ["band", "i", "j"])
+    some = store(dealt(labelled).mapInArrow(apart, "band long, i int, j int, id long"), "minhash-apart")
+    close = some.join(labelled, ["band", "i", "j", "id"]).join(texts.select("id", "bands"), "id").join(sets, "id")
+    more = store(dealt(close).mapInArrow(verified_links, "a long, b long").distinct(), "minhash-links")
     parts = components(links.unionByName(more))
     member = texts.join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", "rank", F.coalesce("component", "id").alias("component"))
     least = member.groupBy("component").agg(F.min("rank").alias("class"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import grouped
-from .scratch import store
+from .scratch import store, together
 from .substrings import LAST
 from .vectors import CENTROIDS, as_matrix, codebook, distinct_vectors, sampled, squared
 
@@ -147,7 +147,7 @@ def near_vectors(df: DataFrame, least: float) -> DataFrame:
     here = points.join(split, "cell").withColumn("block", part("blocks")).withColumn("turn", every("turns")).withColumn("own", F.col("cell"))
     there = arrive.join(split, "cell").withColumn("turn", part("turns")).withColumn("block", every("blocks")).withColumn("visits", F.lit(None).cast("array<long>"))
     columns = ["cell", "block", "turn", "id", "copies", "vec", "own", "visits"]
-    dealt = here.select(columns).unionByName(there.select(columns)).repartition("cell", "block", "turn").sortWithinPartitions("cell", "block", "turn")
+    dealt = together(here.select(columns).unionByName(there.select(columns)), ["cell", "block", "turn"])
     found = store(dealt.mapInArrow(lambda it: met(it, least), "a long, b long, n long"), "grid-links")
     count = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     parts = components(found.where("b is not null").select("a", "b").distinct()).withColumnRenamed("node", "id")

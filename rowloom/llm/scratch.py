@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/rowloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of equal keys in one partition, one after another, by ``order``.
+
+    Dealt by a hash of the keys: an exchange by the keys themselves is left out after a join by them, and when that
+    join turns into a broadcast join at run time its inputs are read where they lie, a key in several partitions.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
