@@ -13,6 +13,7 @@ MODULES = {
     "op6_sharding": "sharding",
     "op7_nearest_neighbours": "descent",
     "op8_minhash_near_dedup": "minhash",
+    "op9_language_id": "languages",
 }
 
 
