@@ -8,12 +8,14 @@ from importlib import import_module
 MODULES = {
     "op1_embedding_near_dedup": "multiindex",
     "op2_sentencepiece": "pieces",
+    "op3_url_filters": "urlfilter",
     "op4_substring_dedup": "substrings",
     "op5_mixing": "mixing",
     "op6_sharding": "sharding",
     "op7_nearest_neighbours": "descent",
     "op8_minhash_near_dedup": "minhash",
     "op9_language_id": "languages",
+    "op10_html_extraction": "webpages",
 }
 
 
