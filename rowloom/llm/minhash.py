@@ -229,7 +229,8 @@ def similar(batches):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(rank, key, n, class) for each row of ``docs`` (doc_id, text): class is the least rank of the row's class.
+    """(rank, key, n, class, component) for each row of ``docs`` (doc_id, text): class is the least rank of the row's class,
+    component a number that its texts share (null without words).
 
     Texts without words (null, empty, blank) link with nothing and are their own class. A null id ranks last.
     """
@@ -264,9 +265,21 @@ def classes(docs: DataFrame) -> DataFrame:
     parts = components(links.unionByName(more))
     member = texts.join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", "rank", F.coalesce("component", "id").alias("component"))
     least = member.groupBy("component").agg(F.min("rank").alias("class"))
-    of = member.join(least, "component").select("digest", "class")
-    blank, full = seen.where("n = 0").select("rank", "key", "n", F.col("rank").alias("class")), seen.where("n > 0").join(of, "digest").select("rank", "key", "n", "class")
-    return full.unionByName(blank)
+    of = member.join(least, "component").select("digest", "class", "component")
+    blank = seen.where("n = 0").select("rank", "key", "n", F.col("rank").alias("class"), F.lit(None).cast("long").alias("component"))
+    return seen.where("n > 0").join(of, "digest").select("rank", "key", "n", "class", "component").unionByName(blank)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row with the least id, of equals the one whose text
+    hashes least, of rows equal in both any one. Rows without words all stay."""
+    found = classes(docs.select("doc_id", "text"))
+    best = found.where("n > 0").groupBy("component").agg(F.min(F.struct("rank", "key")).alias("at")).select("at.rank", "at.key")
+    best = store(best, "minhash-kept").select(F.col("rank").alias("__rl_rank"), F.col("key").alias("__rl_key"))
+    told = docs.withColumns({"__rl_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__rl_key": F.xxhash64("text")})
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = told.where(words).join(best, ["__rl_rank", "__rl_key"], "left_semi").dropDuplicates(["__rl_rank", "__rl_key"])
+    return kept.select(*docs.columns).unionByName(told.where(~words).select(*docs.columns))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,12 +8,15 @@ sequence strays from a share by a logarithm of its length) follow at the end, so
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .numbering import chunk_bits, chunk_of, order_hash, running
 from .scratch import store
+from .words import Words, pieces
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -116,6 +119,44 @@ def sized_rows(docs: DataFrame, *carry: str) -> DataFrame:
     return store(rows, "mix-rows")
 
 
+def _repeat(batches, text: str, taken: str, size: str, chars: str | None):
+    """Each row as often as all its words are taken, and once more with the first words if some are left to take."""
+    for b in pieces(batches, column=text):
+        want, have = b.column(taken).to_numpy(), np.maximum(b.column(size).to_numpy(), 1)
+        full, rest = want // have, want % have
+        times = full + (rest > 0)
+        part = np.flatnonzero(rest > 0)
+        out = b.take(pa.array(np.repeat(np.arange(b.num_rows), times)))
+        if len(part):
+            words = Words(b.column(text).take(pa.array(part)))
+            ends = words.ends[words.first[:-1] + rest[part] - 1]
+            raw = words.data.tobytes()
+            cut = {int(np.cumsum(times)[i]) - 1: raw[words.offsets[k] : ends[k]].decode() for k, i in enumerate(part)}
+            texts = [cut.get(i, x) for i, x in enumerate(out.column(text).to_pylist())]
+            out = out.set_column(out.schema.get_field_index(text), text, pa.array(texts, pa.string()))
+            if chars:
+                at = out.schema.get_field_index(chars)
+                counts = [len(cut[i]) if i in cut else x for i, x in enumerate(out.column(chars).to_pylist())]
+                out = out.set_column(at, chars, pa.array(counts, out.schema.field(at).type))
+        yield out.drop_columns([taken, size])
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all columns: a row for each time that a document is taken, the last
+    with its first words only where it is taken in part (and n_chars, if there is one, to match)."""
+    names = [f"__rl_{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    told = store(docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(f"`{c}`").alias(n) for c, n in at.items())), "mix-docs")
+    text = F.col(at["text"])
+    rows = store(told.select("rid", source_key(F.col(at["source"])).alias("skey"), words_of(text).alias("size"), order_hash(F.col(at["doc_id"]), text).alias("hash")), "mix-rows")
+    taken = store(mix(rows).where("taken > 0").select("rid", "size", "taken"), "mix-taken")
+    out = told.join(taken, "rid").select(*names, "taken", "size")
+    schema = ", ".join(f"{n} {told.schema[n].dataType.simpleString()}" for n in names)
+    chars = at.get("n_chars")
+    out = out.mapInArrow(lambda it: _repeat(it, at["text"], "taken", "size", chars), schema)
+    return out.select(*(F.col(n).alias(c) for c, n in at.items()))
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` mixed to weights 5, 2, 1, ...; a null source is a source, a null text has no words."""
     rows = sized_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")

@@ -15,6 +15,7 @@ import hashlib
 from array import array
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,6 +195,21 @@ def decode(df: DataFrame, path: str, column: str = "ids", out: str = "text") ->
     return found.select(*(F.col(s).alias(n) for s, n in zip(safe, names, strict=True)), F.col("__rl_text").alias(out))
 
 
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with n_ids, ids and lossless (whether the ids decode to the text; null for a null text) in place of text."""
+    names = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        model = loaded(path)
+        for b in encode_rows(batches, path, [*names, "text"]):
+            same = [None if t is None else model.decode(x) == t for t, x in zip(b.column("text").to_pylist(), b.column("__rl_ids").to_pylist(), strict=True)]
+            ids = b.column("__rl_ids")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pc.fill_null(pc.list_value_length(ids), 0).cast(pa.int64()), ids, pa.array(same, pa.bool_())], [*names, "n_ids", "ids", "lossless"])
+
+    schema = ", ".join([*(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names), "n_ids long, ids array<int>, lossless boolean"])
+    return docs.mapInArrow(run, schema)
+
+
 def digest(batches, path: str):
     """A row for each text: ids encoded, then decoded again, and digests of both."""
     model, kept = loaded(path), {}
