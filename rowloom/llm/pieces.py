@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .words import pieces as cut
 
 MARK = "▁"
-#: Words whose pieces a task keeps between batches; beyond it they are found again.
-KEPT = 400_000
+#: Words whose pieces a worker keeps between batches; beyond it they are found again.
+KEPT = 1_000_000
 
 
 def model_path() -> str:
@@ -49,8 +49,11 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[x] = i
                 self.as_bytes[i] = x.replace(MARK, " ").encode()
-        self.longest = max(map(len, self.ids), default=1)
+        self.longest: dict[str, int] = {}  # of the pieces that end with three characters
+        for x in self.ids:
+            self.longest[x[-3:]] = max(len(x), self.longest.get(x[-3:], 0))
         self.rank = {x: -model.get_score(i) for x, i in self.ids.items()}
+        self.packed = {x: i.to_bytes(4, "little") for x, i in self.ids.items()}
         self.follows: dict[tuple[str, str], bool] = {}
         self.stands: dict[str, bool] = {}
 
@@ -77,29 +80,32 @@ class Pieces:
         last: list[str] = []  # of each prefix of the word at hand: its last piece
         packed: list[bytes] = [b""]  # of each prefix: its ids
         before = ""
-        ids, rank, follows, longest = self.ids, self.rank, self.follows, self.longest
+        known, follows, longest = self.packed, self.follows, self.longest
         for word in sorted(words):
             at, n = 0, min(len(before), len(word))
             while at < n and before[at] == word[at]:
                 at += 1
             del last[at:], packed[at + 1 :]
             for e in range(at + 1, len(word) + 1):
-                for s in range(max(0, e - longest), e):
-                    p = word[s:e]
-                    if p not in rank and e - s > 1:
+                for s in range(e - longest.get(word[e - 3 : e], 2) if e > 2 else 0, e):
+                    if s < 0:
                         continue
+                    p = word[s:e]
+                    own = known.get(p)
+                    if own is None:
+                        if e - s > 1:
+                            continue
+                        own = known[p] = b"".join(self.byte_ids[x].to_bytes(4, "little") for x in p.encode())
                     if s:
-                        pair = (last[s - 1], p)
-                        ok = follows.get(pair)
+                        ok = follows.get((last[s - 1], p))
                         if ok is None:
-                            ok = self.may_follow(*pair)
+                            ok = self.may_follow(last[s - 1], p)
                         if not ok:
                             continue
                     elif e > 1 and not self.may_stand(p):
                         continue
                     last.append(p)
-                    i = ids.get(p)
-                    packed.append(packed[s] + (i.to_bytes(4, "little") if i is not None else b"".join(self.byte_ids[x].to_bytes(4, "little") for x in p.encode())))
+                    packed.append(packed[s] + own)
                     break
             out[word] = packed[len(word)]
             before = word
@@ -146,18 +152,18 @@ def _words(marked: str) -> list[str]:
     return out
 
 
-_LOADED: dict[str, Pieces] = {}
+_LOADED: dict[str, tuple[Pieces, dict[str, bytes]]] = {}
 
 
-def loaded(path: str) -> Pieces:
-    """The model, read once by each worker."""
+def loaded(path: str) -> tuple[Pieces, dict[str, bytes]]:
+    """The model, read once by each worker, and the words it has met."""
     if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
+        _LOADED[path] = Pieces(path), {}
     return _LOADED[path]
 
 
 def encode_rows(batches, path: str, carried: list[str]):
-    model, kept = loaded(path), {}
+    model, kept = loaded(path)
     for b in cut(batches):
         ids = model.encode_batch(b.column("text").to_pylist(), kept)
         flat = pa.Array.from_buffers(pa.int32(), sum(len(x or b"") for x in ids) // 4, [None, pa.py_buffer(b"".join(x or b"" for x in ids))])
@@ -169,7 +175,7 @@ def encode_rows(batches, path: str, carried: list[str]):
 
 
 def decode_rows(batches, path: str, carried: list[str]):
-    model = loaded(path)
+    model, _ = loaded(path)
     for b in batches:
         out = [None if x is None else model.decode(x) for x in b.column("__rl_ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(out, pa.string())], [*carried, "__rl_text"])
@@ -200,7 +206,7 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        model = loaded(path)
+        model, _ = loaded(path)
         for b in encode_rows(batches, path, [*names, "text"]):
             same = [None if t is None else model.decode(x) == t for t, x in zip(b.column("text").to_pylist(), b.column("__rl_ids").to_pylist(), strict=True)]
             ids = b.column("__rl_ids")
@@ -212,7 +218,7 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
 
 def digest(batches, path: str):
     """A row for each text: ids encoded, then decoded again, and digests of both."""
-    model, kept = loaded(path), {}
+    model, kept = loaded(path)
     for b in cut(batches):
         texts = b.column("text").to_pylist()
         rows = []
