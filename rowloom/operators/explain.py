@@ -50,7 +50,8 @@ def prefix_group_curve(table: CellTable, order) -> DataFrame:
     Distinct rows are sorted once; a combination of k begins wherever neighbours first differ in one of the first k.
     """
     names = [f"_c{c}" for c in order]
-    rows = materialize(number(table.frame.select(*names).distinct(), "_r", names), "curve")
+    rows = materialize(table.frame.select(*names).distinct(), "distinct")
+    rows = materialize(number(rows, "_r", names), "curve")
     before = rows.select((F.col("_r") + 1).alias("_r"), *(F.col(c).alias(f"b{c}") for c in names))
     first = F.lit(len(names))
     for k in range(len(names), 0, -1):

@@ -37,7 +37,7 @@ def number(df: DataFrame, out: str, order_by: list, rows: int | None = None) ->
     n = df.count() if rows is None else rows
     if n <= ONE_SORT:
         return df.withColumn(out, (F.row_number().over(W.orderBy(*order_by)) - 1).cast("long"))
-    parts = max(2, -(-n // 1_000_000))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // 1_000_000))
     ranged = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
     ranged = materialize(ranged.withColumn("__m", F.monotonically_increasing_id()), "sorted")
     part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
