@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from .words import pieces as cut
 
 MARK = "▁"
-#: Words whose pieces a worker keeps between batches; beyond it they are found again.
-KEPT = 1_000_000
+#: Words that a task keeps between batches, and pairs of pieces that a worker keeps; beyond it they are found again.
+KEPT, PAIRS = 150_000, 300_000
+#: Bytes of text that are encoded together.
+BATCH = 1 << 20
 
 
 def model_path() -> str:
@@ -49,14 +52,23 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[x] = i
                 self.as_bytes[i] = x.replace(MARK, " ").encode()
-        self.longest: dict[str, int] = {}  # of the pieces that end with three characters
+        lengths: dict[str, set[int]] = {}  # of the pieces that end with three characters
         for x in self.ids:
-            self.longest[x[-3:]] = max(len(x), self.longest.get(x[-3:], 0))
+            lengths.setdefault(x[-3:], set()).add(len(x))
+        self.lengths = {x: tuple(sorted(k | {1, 2}, reverse=True)) for x, k in lengths.items()}
         self.rank = {x: -model.get_score(i) for x, i in self.ids.items()}
-        self.packed = {x: i.to_bytes(4, "little") for x, i in self.ids.items()}
-        self.follows: dict[tuple[str, str], bool] = {}
+        # characters that the model lacks get numbers beyond its own, and the ids of their bytes
+        self.numbers = dict(self.ids)
+        self.strings, self.bytes_of = list(self.text), [i.to_bytes(4, "little") for i in range(size)]
+        self.follows: dict[int, bool] = {}
         self.stands: dict[str, bool] = {}
 
+    def add_character(self, c: str) -> int:
+        n = self.numbers[c] = len(self.strings)
+        self.strings.append(c)
+        self.bytes_of.append(b"".join(self.byte_ids[x].to_bytes(4, "little") for x in c.encode()))
+        return n
+
     def merged(self, word: str) -> list[str]:
         """Segmentation by the merges themselves: again and again the pair whose piece ranks first, leftmost among equals."""
         parts = list(word)
@@ -67,50 +79,49 @@ class Pieces:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
-    def may_follow(self, left: str, right: str) -> bool:
-        """Whether merging ``left + right`` gives just these two pieces."""
-        found = self.follows.get((left, right))
-        if found is None:
-            found = self.follows[left, right] = self.merged(left + right) == [left, right]
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging the text of both gives just these two pieces."""
+        x, y = self.strings[left], self.strings[right]
+        found = self.follows[left << 32 | right] = self.merged(x + y) == [x, y]
         return found
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word, four bytes each, by one walk over the trie of all."""
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
         out: dict[str, bytes] = {}
-        last: list[str] = []  # of each prefix of the word at hand: its last piece
+        last: list[int] = []  # of each prefix of the word at hand: its last piece
         packed: list[bytes] = [b""]  # of each prefix: its ids
-        before = ""
-        known, follows, longest = self.packed, self.follows, self.longest
+        before, short = "", (2, 1)
+        number, follows, lengths, bytes_of = self.numbers.get, self.follows.get, self.lengths.get, self.bytes_of
         for word in sorted(words):
             at, n = 0, min(len(before), len(word))
             while at < n and before[at] == word[at]:
                 at += 1
             del last[at:], packed[at + 1 :]
             for e in range(at + 1, len(word) + 1):
-                for s in range(e - longest.get(word[e - 3 : e], 2) if e > 2 else 0, e):
+                for k in lengths(word[e - 3 : e], short) if e > 2 else short:
+                    s = e - k
                     if s < 0:
                         continue
-                    p = word[s:e]
-                    own = known.get(p)
-                    if own is None:
-                        if e - s > 1:
+                    p = number(word[s:e])
+                    if p is None:
+                        if k > 1:
                             continue
-                        own = known[p] = b"".join(self.byte_ids[x].to_bytes(4, "little") for x in p.encode())
+                        p = self.add_character(word[s:e])
                     if s:
-                        ok = follows.get((last[s - 1], p))
+                        ok = follows(last[s - 1] << 32 | p)
                         if ok is None:
                             ok = self.may_follow(last[s - 1], p)
                         if not ok:
                             continue
-                    elif e > 1 and not self.may_stand(p):
+                    elif e > 1 and not self.may_stand(word[:e]):
                         continue
                     last.append(p)
-                    packed.append(packed[s] + own)
+                    packed.append(packed[s] + bytes_of[p])
                     break
             out[word] = packed[len(word)]
             before = word
-        if len(follows) > 4_000_000:
-            follows.clear()
         return out
 
     def may_stand(self, piece: str) -> bool:
@@ -124,10 +135,11 @@ class Pieces:
         """The ids of each text, four bytes each; ``kept`` holds words already known."""
         split = [None if t is None else ((MARK + t).replace(" ", MARK) if t else "") for t in texts]
         marked = [x and _words(x) for x in split]
-        fresh = {w for ws in marked if ws for w in ws if w not in kept}
+        every = set(chain.from_iterable(ws for ws in marked if ws))
+        fresh = every - kept.keys()
         if len(kept) + len(fresh) > KEPT:
-            kept.clear()
-            fresh = {w for ws in marked if ws for w in ws}
+            for w in kept.keys() - every:
+                del kept[w]
         kept |= self.encode_words(list(fresh))
         return [None if t is None else b"".join(map(kept.__getitem__, ws or ())) for t, ws in zip(texts, marked, strict=True)]
 
@@ -152,19 +164,19 @@ def _words(marked: str) -> list[str]:
     return out
 
 
-_LOADED: dict[str, tuple[Pieces, dict[str, bytes]]] = {}
+_LOADED: dict[str, Pieces] = {}
 
 
-def loaded(path: str) -> tuple[Pieces, dict[str, bytes]]:
-    """The model, read once by each worker, and the words it has met."""
+def loaded(path: str) -> Pieces:
+    """The model, read once by each worker."""
     if path not in _LOADED:
-        _LOADED[path] = Pieces(path), {}
+        _LOADED[path] = Pieces(path)
     return _LOADED[path]
 
 
 def encode_rows(batches, path: str, carried: list[str]):
-    model, kept = loaded(path)
-    for b in cut(batches):
+    model, kept = loaded(path), {}
+    for b in cut(batches, BATCH):
         ids = model.encode_batch(b.column("text").to_pylist(), kept)
         flat = pa.Array.from_buffers(pa.int32(), sum(len(x or b"") for x in ids) // 4, [None, pa.py_buffer(b"".join(x or b"" for x in ids))])
         at, offsets = 0, []
@@ -175,7 +187,7 @@ def encode_rows(batches, path: str, carried: list[str]):
 
 
 def decode_rows(batches, path: str, carried: list[str]):
-    model, _ = loaded(path)
+    model = loaded(path)
     for b in batches:
         out = [None if x is None else model.decode(x) for x in b.column("__rl_ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(out, pa.string())], [*carried, "__rl_text"])
@@ -206,7 +218,7 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        model, _ = loaded(path)
+        model = loaded(path)
         for b in encode_rows(batches, path, [*names, "text"]):
             same = [None if t is None else model.decode(x) == t for t, x in zip(b.column("text").to_pylist(), b.column("__rl_ids").to_pylist(), strict=True)]
             ids = b.column("__rl_ids")
@@ -218,8 +230,8 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
 
 def digest(batches, path: str):
     """A row for each text: ids encoded, then decoded again, and digests of both."""
-    model, kept = loaded(path)
-    for b in cut(batches):
+    model, kept = loaded(path), {}
+    for b in cut(batches, BATCH):
         texts = b.column("text").to_pylist()
         rows = []
         for t, x in zip(texts, model.encode_batch(texts, kept), strict=True):
