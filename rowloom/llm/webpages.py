@@ -63,8 +63,8 @@ class Page:
                 self.parts.append((None, "", False, False))
             if m[1] or m[4]:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag), 0)
-                if depth:
-                    del stack[depth:]
+                if depth:  # an inline element that blocks within it outlast ends alone
+                    del stack[depth : depth + 1 if tag in INLINE else None]
                 continue
             for closed in _CLOSED_BY.get(tag, ()):
                 if stack[-1][1] == closed or closed == "p" and (k := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == "p" or stack[k][1] not in INLINE), 0)) and stack[k][1] == "p":
