@@ -36,12 +36,14 @@ def _shown(d: Column, e: Column) -> Column:
 def float_text(c: Column) -> Column:
     """A double as Python's repr: shortest digits, an exponent below 1e-4 and from 1e16 on.
 
-    From 0.001 to 10 million the JVM prints the same. It gives 17 digits to some doubles that 16 tell apart; these are tried. (Below the least normal double it may
-    still differ in the last digit.)
+    From 0.001 to 10 million the JVM prints the same. It gives more digits to some doubles than tell them apart; 16 and
+    17 are tried. Where it cuts a tie the other way, beyond 1e17, and below the least normal double, the last digit may
+    still differ.
     """
     c = c.cast("double")
-    short = F.format_string("%.15e", c)
-    text = let(c.cast("string"), lambda t: F.when((F.length(F.regexp_replace(t, "E.*$|[-.]", "")) >= 17) & (short.try_cast("double") == c), short).otherwise(t))
+    digits = lambda t: F.length(F.regexp_replace(t, "E.*$|[-.]", ""))
+    best = lambda t, n: F.when((digits(t) > n) & (F.format_string(f"%.{n - 1}e", c).try_cast("double") == c), F.format_string(f"%.{n - 1}e", c))
+    text = let(c.cast("string"), lambda t: F.coalesce(best(t, 16), best(t, 17), t))
     finite = let(_digits(c, text), lambda x: _shown(x["d"], x["e"]))
     sign = F.when(F.startswith(c.cast("string"), F.lit("-")), "-").otherwise("")
     plain = c.cast("string")
