@@ -28,7 +28,7 @@ TEMPER = 1 / 3
 FOREIGN = 0.1
 #: Prior of ``und``, weight of the prior above in smoothing (in rows), chance that a declaration or address is right.
 UNKNOWN, WEIGHT, DECLARED, ADDRESSED = 1e-3, 10.0, 0.9, 0.8
-#: Least posterior of a language for a row to be accepted.
+#: Least posterior of all known languages together for a row to be accepted: a text that fits several of them stays.
 LEAST = 0.5
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -126,7 +126,7 @@ def address_language(url: Column) -> Column:
 def identify(df: DataFrame, model: Model, host: Column, domain: Column | None = None, markup: Column | None = None, address: Column | None = None, text: str = "text") -> DataFrame:
     """Add __rl_lang, __rl_posterior and __rl_accepted to ``df``.
 
-    Accepted: the best language isn't ``und``, has a posterior of LEAST or more, and the text has a letter; null, empty and
+    Accepted: the known languages together have a posterior of LEAST or more, and the text has a letter; null, empty and
     letterless texts are not. Without a model (no labelled row) the language is null and texts with a letter are accepted.
     A null host is a host of its own. ``df`` is read twice.
     """
@@ -163,7 +163,7 @@ def identify(df: DataFrame, model: Model, host: Column, domain: Column | None =
     out = out.withColumn("__rl_p", normal(logs)).withColumn("__rl_posterior", F.array_max("__rl_p"))
     best = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("__rl_p", F.col("__rl_posterior")).cast("int"))
     best = F.when(F.col("__rl_letters") > 0, best).otherwise("und")
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)), best.alias("__rl_lang"), "__rl_posterior", ((best != "und") & (F.col("__rl_posterior") >= LEAST)).alias("__rl_accepted"))
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)), best.alias("__rl_lang"), "__rl_posterior", ((F.col("__rl_letters") > 0) & (F.element_at("__rl_p", -1) <= 1 - LEAST)).alias("__rl_accepted"))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
