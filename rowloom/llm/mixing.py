@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .numbering import chunk_bits, chunk_of, order_hash, running
+from .numbering import CHUNK_ROWS, chunk_bits, chunk_of, order_hash, running
 from .scratch import store
 from .words import Words, pieces
 
@@ -81,7 +81,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     words = sources.agg(F.sum("goal")).first()[0] or 0
     points = spark.range(-(-words // BLOCK)).withColumn("u", F.pmod(F.pmod("id", F.lit(PERIOD)) * GOLDEN, F.lit(PERIOD))).withColumn("cell", F.floor(F.col("u") / width))
     hit = points.join(cells, "cell").where("u >= low and u < high").select(F.col("id").alias("slot"), "skey")
-    hit = store(hit.withColumn("chunk", F.floor(F.col("slot") / 65_536)), "mix-points")
+    hit = store(hit.withColumn("chunk", F.floor(F.col("slot") / CHUNK_ROWS)), "mix-points")
     ranked = running(hit, ["skey"], "chunk", ["slot"], F.lit(1), "turn")
     got = by.join(hit.groupBy("skey").agg(F.count("*").alias("got")), "skey", "left").withColumn("got", F.coalesce("got", F.lit(0)))
     lacking = got.where("got < need").select("skey", F.explode(F.sequence("got", F.col("need") - 1)).alias("turn"))

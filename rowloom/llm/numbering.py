@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that one chunk holds on average, at most.
-CHUNK_ROWS = 65_536
+CHUNK_ROWS = 4096
 #: Hash values that order rows have so many bits.
 ORDER_BITS = 62
 
@@ -21,8 +21,8 @@ def order_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(20), *columns), 64 - ORDER_BITS)
 
 
-def chunk_bits(rows: int) -> int:
-    return max(0, (rows // CHUNK_ROWS).bit_length())
+def chunk_bits(rows: int, size: int = CHUNK_ROWS) -> int:
+    return max(0, (rows // size).bit_length())
 
 
 def chunk_of(order: Column, bits: int) -> Column:

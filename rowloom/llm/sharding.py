@@ -12,6 +12,10 @@ from .numbering import chunk_bits, chunk_of, order_hash, running
 from .scratch import store
 
 
+#: Groups of a chunk, which the driver gets together.
+GROUPS = 65_536
+
+
 class GroupIndex:
     """Group sizes in the order of their keys: chunk totals on the driver, one chunk's groups at a time when asked for.
 
@@ -98,14 +102,15 @@ def shard(df: DataFrame, shards: int, size: Column, group: Column, carry: dict[s
     rows = store(df.select(*(c.alias(n) for n, c in carry.items()), size.alias("__rl_size"), group.alias("__rl_g")), "shard-rows")
     rows = rows.withColumn("__rl_k", F.conv(F.substring(F.hex("__rl_g"), 1, 15), 16, 10).cast("long"))
     groups = rows.groupBy(F.col("__rl_k").alias("k"), F.col("__rl_g").alias("g")).agg(F.sum("__rl_size").alias("bytes"))
-    bits = chunk_bits(rows.count())
+    n = rows.count()
+    bits = chunk_bits(n, GROUPS)
     groups = store(groups.withColumn("chunk", F.shiftright("k", 60 - bits) if bits else F.lit(0)), "shard-groups")
     _, cuts = minimax_cuts(GroupIndex(groups), shards)
     number = F.lit(0)
     for k, g in cuts:
         beyond = (F.col("__rl_k") > k) | ((F.col("__rl_k") == k) & (F.col("__rl_g") > F.lit(g)))
         number = number + F.when(beyond, 1).otherwise(0)
-    rows = rows.withColumn("shard", number).withColumn("__rl_o", order_hash(*map(F.col, identity))).withColumn("__rl_c", chunk_of(F.col("__rl_o"), bits))
+    rows = rows.withColumn("shard", number).withColumn("__rl_o", order_hash(*map(F.col, identity))).withColumn("__rl_c", chunk_of(F.col("__rl_o"), chunk_bits(n)))
     out = running(rows, ["shard"], "__rl_c", ["__rl_o", *identity], F.lit(1), "slot")
     return out.select(*carry, "shard", F.col("slot").cast("long").alias("slot"))
 
