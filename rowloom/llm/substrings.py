@@ -85,15 +85,16 @@ def removals(docs: DataFrame) -> DataFrame:
     """(rank, key, n_words, whole, starts) once for each: whether all words go, or where repeated windows start (null: nowhere)."""
     texts = keys(docs)
     seen = store(texts.mapInArrow(scan, "rank long, key long, digest binary, n_words long, runs array<long>"), "windows-scan")
-    smallest = seen.groupBy("digest").agg(F.min("rank").alias("smallest"))
+    # what rows with frequent keys are joined with is written first: Spark then cuts the frequent keys' partitions
+    smallest = store(seen.groupBy("digest").agg(F.min("rank").alias("smallest")), "windows-digests")
     seen = seen.join(smallest, "digest")
     once = seen.where("rank = smallest")
     runs = once.select("rank", "key", F.posexplode("runs").alias("run", "least"))
-    shared = runs.groupBy("least").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("least")
+    shared = store(runs.groupBy("least").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("least"), "windows-shared")
     marked = runs.join(shared, "least").groupBy("rank", "key").agg(F.sort_array(F.collect_set("run")).alias("marked"))
     hashed = texts.join(marked, ["rank", "key"]).select("rank", "key", "text", "marked")
     found = store(hashed.mapInArrow(hash_windows, "one long, two long, rank long, key long, start long"), "windows-hashes")
-    first = found.groupBy("one", "two").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("one", "two", "a")
+    first = store(found.groupBy("one", "two").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("one", "two", "a"), "windows-first")
     starts = found.join(first, ["one", "two"]).where("rank > a").groupBy("rank", "key").agg(F.collect_set("start").alias("starts"))
     whole = (F.col("rank") > F.col("smallest")) & (F.col("n_words") >= WINDOW)
     by_key = seen.groupBy("rank", "key").agg(F.first("n_words").alias("n_words"), F.first(whole).alias("whole"))
