@@ -21,11 +21,11 @@ from .substrings import LAST
 from .vectors import CENTROIDS, as_matrix, codebook, distinct_vectors, sampled, squared
 
 #: Neighbours kept of each vector, and rounds of descent.
-DEGREE, ROUNDS = 16, 2
+DEGREE, ROUNDS = 20, 2
 #: Vectors of a coarse cell on average, cells that each is put in, and the most that one task compares with each other.
-OCCUPANCY, CELLS, BLOCK = 512, 3, 2048
+OCCUPANCY, CELLS, BLOCK = 512, 4, 2048
 #: Vectors a query keeps, and how many of them it looks up in one hop.
-WIDTH, LOOKED_UP = 256, 96
+WIDTH, LOOKED_UP = 512, 160
 
 
 def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
