@@ -279,7 +279,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     told = docs.withColumns({"__rl_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__rl_key": F.xxhash64("text")})
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = told.where(words).join(best, ["__rl_rank", "__rl_key"], "left_semi").dropDuplicates(["__rl_rank", "__rl_key"])
-    return kept.select(*docs.columns).unionByName(told.where(~words).select(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(columns).unionByName(told.where(~words).select(columns))
 
 
 def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -288,3 +289,15 @@ def op8_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     known = lambda c: F.when(F.col(c) < LAST, F.col(c))
     out = classes(docs.select("doc_id", "text"))
     return out.select(known("rank").alias("doc_id"), known("class").alias("class_id"), F.col("n").alias("n_shingles"), (F.col("rank") == F.col("class")).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) AS x FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT w.doc_id, c AS class_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, w.doc_id = c AS kept FROM w JOIN least ON a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
