@@ -148,10 +148,18 @@ def measured(result_frame: DataFrame, labelled: DataFrame) -> DataFrame:
     return result_frame.join(labelled, "_pos").withColumn("correct", F.col("decision") == F.col("gold"))
 
 
+#: Rows whose digests are hashed together.
+HASHED = 65_536
+
+
 def table_hash(df: DataFrame, text: str, order_by: str) -> DataFrame:
-    """SHA-256 of rows of text in order: of the rows' own digests, so that no task holds all the texts."""
-    digests = df.select(F.struct(F.col(order_by), F.sha2(F.col(text), 256).alias("d")).alias("x"))
-    return digests.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["d"]), "\n"), 256).alias("sha256"))
+    """SHA-256 of rows of text in order, as a tree: of the digests of runs of HASHED rows, each of its rows' digests."""
+    from ..plans.materialize import number
+
+    placed = number(df.select(order_by, F.sha2(F.col(text), 256).alias("d")), "at", [order_by])
+    joined = lambda at, d: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, d))), lambda x: x[d]), "\n"), 256)
+    runs = placed.groupBy(F.floor(F.col("at") / HASHED).alias("run")).agg(joined("at", "d").alias("d"))
+    return runs.agg(joined("run", "d").alias("sha256"))
 
 
 def describe(df: DataFrame, columns: list[str], tokens) -> DataFrame:

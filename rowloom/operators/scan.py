@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import ONE_SORT, materialize, number
 from ..sources.cells import as_cells
 from .decisions import DecisionSpec, decided, valid, valid_response
 from .layout import LayoutOptimizer, LayoutPlan
@@ -60,14 +60,32 @@ class ScanResult:
         return found | {"rows_per_second": found["rows"] / self.wall_seconds if self.wall_seconds else 0.0}
 
 
-def scan_metrics(traces: DataFrame) -> DataFrame:
-    """One row of totals, percentiles and means of traces; percentiles interpolate, means leave nulls out."""
-    at = lambda c, p, n: F.coalesce(F.percentile(c, p), F.lit(0.0)).alias(n)
+def percentiles(df: DataFrame, column: str, ps: tuple[float, ...]) -> list[float]:
+    """Exact percentiles of a column, interpolated, by sorting it across tasks and looking up the ranks beside each; 0 of no rows."""
+    rows = number(df.where(F.col(column).isNotNull()).select(F.col(column).alias("x")), "r", ["x"])
+    n = rows.agg(F.max("r")).first()[0]
+    if n is None:
+        return [0.0] * len(ps)
+    at = {int(n * p) for p in ps} | {min(n, int(n * p) + 1) for p in ps}
+    found = {r["r"]: float(r["x"]) for r in rows.where(F.col("r").isin(sorted(at))).collect()}
+    low = [(found[int(n * p)], found[min(n, int(n * p) + 1)], n * p - int(n * p)) for p in ps]
+    return [a + (b - a) * part for a, b, part in low]
+
+
+def scan_metrics(traces: DataFrame, rows: int | None = None) -> DataFrame:
+    """One row of totals, percentiles and means of traces; percentiles interpolate, means leave nulls out.
+
+    Percentiles of few rows come from one aggregate, which holds their values; of many, from a sort.
+    """
+    n = traces.count() if rows is None else rows
+    names = {"client_request_seconds": "latency", "complete_offset_seconds": "batch_sojourn"}
+    if n <= ONE_SORT:
+        given = [F.coalesce(F.percentile(c, p), F.lit(0.0)).alias(f"{k}_p{round(100 * p)}_seconds") for c, k in names.items() for p in (0.5, 0.95)]
+    else:
+        given = [F.lit(x).alias(f"{k}_p{q}_seconds") for c, k in names.items() for q, x in zip((50, 95), percentiles(traces, c, (0.5, 0.95)), strict=True)]
     mean = lambda c, n: (F.avg(c) * 0.001).alias(n)
     sums = traces.agg(
-        F.count(F.lit(1)).alias("rows"), *map(all_or_unknown, COUNTS),
-        at("client_request_seconds", 0.5, "latency_p50_seconds"), at("client_request_seconds", 0.95, "latency_p95_seconds"),
-        at("complete_offset_seconds", 0.5, "batch_sojourn_p50_seconds"), at("complete_offset_seconds", 0.95, "batch_sojourn_p95_seconds"),
+        F.count(F.lit(1)).alias("rows"), *map(all_or_unknown, COUNTS), *given,
         mean("queue_time_ms", "engine_queue_mean_seconds"), mean("engine_prefill_interval_ms", "engine_prefill_interval_mean_seconds"), mean("generation_time_ms", "engine_generation_mean_seconds"),
     )
     return sums.withColumn("cached_fraction", F.when(F.col("prompt_tokens") > 0, F.col("cached_tokens") / F.col("prompt_tokens")))

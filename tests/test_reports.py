@@ -92,8 +92,8 @@ def test_gate_and_hash(spark):
             reports.require_metrics(spark.createDataFrame(bad, good.schema), mode)
     reports.require_metrics(spark.createDataFrame([(0, None, 2.0)], good.schema), "enabled", allow_missing=True)
     df = spark.createDataFrame([(2, "b"), (1, "a")], "i int, t string")
-    parts = [hashlib.sha256(x).hexdigest() for x in (b"a", b"b")]
-    assert reports.table_hash(df, "t", "i").first()[0] == hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert reports.table_hash(df, "t", "i").first()[0] == digest(digest("\n".join(map(digest, "ab"))))
 
 
 def test_summary_of_runs(spark):

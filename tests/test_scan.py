@@ -197,3 +197,16 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {r["id"]: r["decision"] for r in out} == {str(i): str(i % 5 > 2) for i in range(20)}
+
+
+def test_percentiles_by_sorting(spark, monkeypatch):
+    from rowloom.operators import scan
+    from rowloom.plans import materialize
+
+    rng = np.random.default_rng(5)
+    xs = rng.random(300).round(2)
+    df = spark.createDataFrame([(float(x),) for x in xs] + [(None,)], "x double")
+    for limit in (10, 10_000):
+        monkeypatch.setattr(materialize, "ONE_SORT", limit)
+        assert scan.percentiles(df, "x", (0.0, 0.5, 0.95, 1.0)) == pytest.approx(np.percentile(xs, [0, 50, 95, 100]).tolist())
+    assert scan.percentiles(df.where("x > 5"), "x", (0.5,)) == [0.0]
