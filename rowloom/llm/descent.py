@@ -93,7 +93,7 @@ def build_graph(points: DataFrame, width: int) -> DataFrame:
     centres = codebook(sample, min(CENTROIDS, max(1, n // OCCUPANCY)))
     cells = store(points.select("id", "vec").mapInArrow(lambda it: put(it, centres, width), "cell long, id long, vec binary"), "graph-cells")
     blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = cells.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = cells.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
     dealt = together(dealt.select("cell", "block", "id", "vec"), ["cell", "block"])
     graph = dealt.mapInArrow(lambda it: nearest_inside(it, width), "u long, v long, d double").groupBy("u", "v").agg(F.min("d").alias("d"))
     graph = store(nearest(graph, "u", DEGREE), "graph")
