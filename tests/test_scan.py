@@ -142,8 +142,7 @@ def server():
 
 def head(tmp_path, **slots):
     ranges = {"noul": [0, 2], "score": [2, 8], "choice": [8, 24]} | slots
-    (tmp_path / "adapter_vllm").mkdir(exist_ok=True)
-    (tmp_path / "adapter_vllm/decision_head.json").write_text(json.dumps({"bias": [0.0, 0.5, *[0.0] * 22], "verbalizer_ids": list(range(100, 124)), "slots": {"template_version": "bare-v1", "ranges": ranges}}))
+    (tmp_path / "decision_head.json").write_text(json.dumps({"bias": [0.0, 0.5, *[0.0] * 22], "verbalizer_ids": list(range(100, 124)), "slots": {"template_version": "bare-v1", "ranges": ranges}}))
     (tmp_path / "calibration.json").write_text(json.dumps({"per_kind": {"noul": 2.0, "score": 1.0, "choice": 1.0}}))
     return tmp_path
 
