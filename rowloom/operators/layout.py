@@ -27,32 +27,36 @@ RANDOM_ROWS = 1_000_000
 
 @dataclass(frozen=True)
 class LayoutPlan:
-    """Order of fields, and for each row (``_pos``) its place (``_exec_pos``)."""
+    """Order of fields, and all rows with their place: ``placed`` has ``_pos``, ``_exec_pos`` and the cells."""
 
     method: str
     column_order: tuple[int, ...]
     columns: tuple[str, ...]
-    order: DataFrame
+    placed: DataFrame
     table: CellTable
     rows: int
     plan_rows: int
     planning_seconds: float
     group_counts: tuple[int, ...] | None = field(default=None, compare=False)
 
+    @property
+    def order(self) -> DataFrame:
+        return self.placed.select("_pos", "_exec_pos")
+
     @property
     def ordered_columns(self) -> tuple[str, ...]:
         return tuple(self.columns[c] for c in self.column_order)
 
     def serialized(self) -> DataFrame:
         """(_pos, _exec_pos, state): each row as one JSON object with its fields in this order."""
-        state = serialize(self.table, self.column_order)
-        return self.order.join(self.table.frame, "_pos").select("_pos", "_exec_pos", state.alias("state"))
+        return self.placed.select("_pos", "_exec_pos", serialize(self.table, self.column_order).alias("state"))
 
     def apply(self, df: DataFrame | None = None) -> DataFrame:
         """The rows in order with all fields in order, and ``_exec_pos``; ``df`` has ``_pos`` and the named fields, else the
         cells themselves are shown. A table that isn't the planned one is refused."""
         if df is None:
-            df = self.table.frame.select("_pos", *(F.col(f"_c{i}").alias(n) for i, n in enumerate(self.columns)))
+            cells = (F.col(f"_c{c}").alias(self.columns[c]) for c in self.column_order)
+            return self.placed.orderBy("_exec_pos").select("_exec_pos", *cells)
         if tuple(c for c in df.columns if c != "_pos") != self.columns:
             raise ValueError("the plan has other columns")
         if df.count() != self.rows:
@@ -164,12 +168,12 @@ class LayoutOptimizer:
             if n <= RANDOM_ROWS:
                 rows = list(range(n))
                 rng.shuffle(rows)
-                placed = self.spark.createDataFrame([(int(p), i) for i, p in enumerate(rows)], "_pos long, _exec_pos long")
+                placed = frame.join(self.spark.createDataFrame([(int(p), i) for i, p in enumerate(rows)], "_pos long, _exec_pos long"), "_pos")
             else:
-                placed = number(frame.select("_pos", F.xxhash64(F.lit(self.seed), "_pos").alias("_h")), "_exec_pos", ["_h", "_pos"], n).select("_pos", "_exec_pos")
+                placed = number(frame.withColumn("_h", F.xxhash64(F.lit(self.seed), "_pos")), "_exec_pos", ["_h", "_pos"], n).drop("_h")
             return LayoutPlan("random", tuple(order), table.columns, placed, table, n, n, time.perf_counter() - started)
         if self.method == "original" or not n or not m:
-            placed = frame.select("_pos", F.col("_pos").alias("_exec_pos"))
+            placed = frame.withColumn("_exec_pos", F.col("_pos"))
             return LayoutPlan(self.method, tuple(order), table.columns, placed, table, n, n, time.perf_counter() - started)
         chosen = frame
         if self.method in ("greedy", "cardinality") and self.sample_size and self.sample_size < n:
@@ -184,7 +188,7 @@ class LayoutOptimizer:
             order.sort(key=lambda c: ndv[c])
         elif self.method == "random_columns":
             rng.shuffle(order)
-        placed = number(frame, "_exec_pos", [*(cells[c] for c in order), "_pos"], n).select("_pos", "_exec_pos")
+        placed = number(frame, "_exec_pos", [*(cells[c] for c in order), "_pos"], n)
         return LayoutPlan(self.method, tuple(order), table.columns, placed, table, n, planned, time.perf_counter() - started, tuple(counts) if counts and planned == n else None)
 
     def explain(self, data, *, columns=None, methods=None, order_by=None):
