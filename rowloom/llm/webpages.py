@@ -153,3 +153,13 @@ def op10_html_extraction(spark, sf_dir: str) -> DataFrame:
     """The main text of each of ``pages``."""
     out = main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("__rl_text").alias("text"), F.length("__rl_text").cast("long").alias("n_chars"))
+
+
+#: The same for pages whose main text is one article without boilerplate in it, and that use these character references alone.
+SQL = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*?)(</article>|$)', 1), '') AS t FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(a|abbr|b|code|em|i|q|s|small|span|strong|sub|sup|u)(\s[^>]*)?>', '', 'g'), '<[^>]*(>|$)', ' ', 'g') AS t FROM a),
+decoded AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM plain),
+spaced AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM spaced
+"""
