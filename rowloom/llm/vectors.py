@@ -68,6 +68,8 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def codebook(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Lloyd's k-means from k points spread evenly over the sample; the same for the same points."""
+    if not len(points):
+        return np.zeros((1, points.shape[1]))
     k = max(1, min(k, len(points)))
     centres = points[np.linspace(0, len(points) - 1, k).astype(int)].copy()
     for _ in range(rounds):
