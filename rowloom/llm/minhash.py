@@ -1,10 +1,12 @@
 """Near-duplicate documents by ProbMinHash.
 
-A shingle that occurs n times in a text weighs 1 + ln n and sends arrivals of a Poisson process of that rate, each to
-one of the signature's components; a component keeps the shingle that arrives first, so two texts agree there with
-their probability Jaccard similarity (for weights of one, the Jaccard similarity). A text's processes stop once they
-pass its latest first arrival. Bands of the signature make buckets; in each, sketches of the signatures give the links
-worth a look, and these are verified by the exact Jaccard similarity of the sets of shingles.
+A shingle sends arrivals of a Poisson process, whose rate is its weight, each to one of the signature's components; a
+component keeps the shingle that arrives first, so two texts agree there with their probability Jaccard similarity. Texts
+are near by the Jaccard similarity of their sets of shingles, so each shingle weighs one, however often it occurs: then the
+two similarities are the same, and what holds for bands and components at SIMILAR holds for every pair (weights that grow
+with counts would part a text from a copy that repeats a passage). A text's processes stop once they pass its latest first
+arrival. Bands of the signature make buckets; in each, sketches of the signatures give the links worth a look, and these
+are verified by the exact similarity.
 
 Exact copies are one text throughout. A bucket's texts are compared in blocks of at most BLOCK, each pair of blocks by
 itself, and yield a spanning forest of likely links instead of all pairs; once these are verified and joined, a second
@@ -89,9 +91,9 @@ def sketch(batches):
     marks = numbers(SEED + 1, BANDS)
     for b in pieces(batches, 1 << 20):
         words = Words(b.column("text"))
-        hashes, text, count = counted(*shingles(words))
+        hashes, text, _ = counted(*shingles(words))
         n = np.bincount(text, minlength=b.num_rows)
-        kept = signatures(hashes, text, 1 + np.log(count), b.num_rows)
+        kept = signatures(hashes, text, np.ones(len(hashes)), b.num_rows)
         bands = np.repeat(marks[None, :], b.num_rows, 0)
         for k in range(ROWS):
             bands = mix64(bands * np.uint64(0xD6E8FEB86659FD93) + kept[:, k::ROWS])

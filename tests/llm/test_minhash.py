@@ -76,6 +76,16 @@ def test_blocks_and_the_second_pass_lose_nothing(spark, documents, monkeypatch):
     assert {r["class_id"] for r in out} == {0} and brute(rows) == [0] * len(rows)
 
 
+def test_copies_that_repeat_a_passage(spark, documents):
+    """One text of each pair has a passage 30 times; the sets of shingles are similar nevertheless."""
+    rows = []
+    for k in range(12):
+        text = edited(words(400, 1000 * k), 100, f"e{k}_").split()
+        rows += [(2 * k, words(400, 1000 * k)), (2 * k + 1, " ".join(text[:120] * 30 + text[120:]))]
+    out = op8_minhash_near_dedup(spark, documents(rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == dict(zip(range(24), brute(rows), strict=True)) == {d: d - d % 2 for d in range(24)}
+
+
 def test_one_of_each(spark, documents):
     rows = corpus()
     docs = spark.read.parquet(documents(rows) + "/documents.parquet")
