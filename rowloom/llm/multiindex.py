@@ -3,8 +3,11 @@
 Unit vectors are cut in halves, each half is assigned to the nearest centroid of its own codebook, and the pair of
 centroids is the vector's cell. A vector visits cells in the order of the sum of its two distances, as the
 multi-sequence algorithm does: among halves sorted by distance, the t nearest pairs (i, j) have (i + 1) * (j + 1) <= t.
-How many it visits is set on the sample: of neighbours made at just the similarity asked for, in random directions, all
-but MISSED share a visited cell with their vector, on one side or the other. What meets in a cell is verified exactly.
+How many it visits is measured: QUERIES vectors that (in larger tables) didn't fit the codebooks are compared with all
+rows, and of their true links all but MISSED share a visited cell, on one side or the other, both of all links together
+and on average over vectors, so that neither large groups nor small ones decide alone. Neighbours made at just the
+similarity asked for, in random directions, are a lower bound, for tables whose queries have few links. What meets in a
+cell is verified exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +26,11 @@ from .vectors import CENTROIDS, as_matrix, codebook, distinct_vectors, sampled,
 #: Vectors of a cell on average, and the most of a cell that one task holds against the most that visit it.
 OCCUPANCY, BLOCK, VISITORS = 512, 4096, 16_384
 MISSED = 0.0005
-#: Sampled vectors for which a neighbour is made.
-TRIALS = 4000
+#: Sampled vectors for which a neighbour is made, those compared with all rows, and the links of one with 1024 rows that
+#: are ranked (evenly chosen, they stand for the others).
+TRIALS, QUERIES, RANKED = 4000, 2000, 16
+#: Sums of distances held at once in ranking.
+HELD = 1 << 22
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -59,10 +65,11 @@ class Grid:
     def rank(self, m: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """How many cells each row visits before the one given."""
         out = np.zeros(len(m), np.int64)
-        for at in range(0, len(m), 256):
-            a, b = self.distances(m[at : at + 256])
+        step = max(1, min(256, HELD // (len(self.one) * len(self.two))))
+        for at in range(0, len(m), step):
+            a, b = self.distances(m[at : at + step])
             sums = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
-            out[at : at + 256] = (sums < sums[np.arange(len(a)), cells[at : at + 256]][:, None]).sum(1)
+            out[at : at + step] = (sums < sums[np.arange(len(a)), cells[at : at + step]][:, None]).sum(1)
         return out
 
     def visited(self, m: np.ndarray) -> np.ndarray:
@@ -77,6 +84,46 @@ class Grid:
         return np.take_along_axis(oa[:, i] * len(self.two) + ob[:, j], best, 1)
 
 
+def rounded(ranks: np.ndarray) -> np.ndarray:
+    """Ranks beyond 64 rounded up to steps of 2 %, so that a table of them is short."""
+    steps = np.ceil(64 * 1.02 ** np.ceil(np.log(np.maximum(ranks, 64) / 64) / np.log(1.02) - 1e-9))
+    return np.where(ranks <= 64, ranks, np.maximum(ranks, steps)).astype(np.int64)
+
+
+def ranked(batches, grid: Grid, width: int, queries: np.ndarray, ids: np.ndarray, least: float):
+    """(query, rank, links): links of the queries with these rows, by the cells that either side visits before they meet."""
+    own = grid.cells(queries)
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            p = b.slice(at, 1024)
+            m = unit(as_matrix(p.column("vec"), width))
+            hits = queries @ m.T >= least
+            hits &= ids[:, None] != p.column("id").to_numpy()[None]
+            q, x, n = [], [], []
+            for k in np.flatnonzero(hits.any(1)):
+                every = np.flatnonzero(hits[k])
+                some = every[np.unique(np.linspace(0, len(every) - 1, RANKED).astype(int))]
+                q.append(np.full(len(some), k)), x.append(some), n.append(np.full(len(some), len(every) / len(some)))
+            if q:
+                q, x = np.concatenate(q), np.concatenate(x)
+                ranks = np.minimum(grid.rank(queries[q], grid.cells(m)[x]), grid.rank(m[x], own[q]))
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(rounded(ranks)), pa.array(np.concatenate(n))], ["query", "rank", "links"])
+
+
+def needed_visits(distinct: DataFrame, grid: Grid, width: int, least: float) -> int:
+    """Visits by which all but MISSED of the true links of QUERIES vectors meet."""
+    rows = distinct.orderBy(F.desc("digest")).select("id", "vec").limit(QUERIES).collect()
+    ids, queries = np.array([r[0] for r in rows]), unit(as_matrix(pa.array([bytes(r[1]) for r in rows], pa.binary()), width))
+    found = distinct.select("id", "vec").mapInArrow(lambda it: ranked(it, grid, width, queries, ids, least), "query long, rank long, links double")
+    found = store(found.groupBy("query", "rank").agg(F.sum("links").alias("links")), "grid-ranks")
+    share = F.col("links") / F.col("all")
+    table = found.join(found.groupBy("query").agg(F.sum("links").alias("all")), "query").groupBy("rank").agg(F.sum("links"), F.sum(share)).orderBy("rank").collect()
+    if not table:
+        return 1
+    ranks, sums = np.array([r[0] for r in table]), np.cumsum([r[1:] for r in table], axis=0)
+    return 1 + max(int(ranks[np.flatnonzero(s >= (1 - MISSED) * s[-1] - 1e-9)[0]]) for s in sums.T)
+
+
 def place(batches, grid: Grid, width: int):
     for b in batches:
         for at in range(0, b.num_rows, 1024):
@@ -137,6 +184,7 @@ def near_vectors(df: DataFrame, least: float) -> DataFrame:
     if not n:
         return rows.select(known("rank").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), known("rank").alias("component_id"), F.lit(True).alias("kept"))
     grid = Grid(unit(sampled(distinct, width)), n, least)
+    grid.visits = max(grid.visits, needed_visits(distinct, grid, width, least))
     points = store(distinct.select("id", "copies", "vec").mapInArrow(lambda it: place(it, grid, width), "id long, copies long, vec binary, cell long, visits array<long>"), "grid-points")
     arrive = points.select("id", "copies", "vec", F.col("cell").alias("own"), F.explode("visits").alias("cell"))
     full = points.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

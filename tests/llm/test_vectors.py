@@ -75,6 +75,17 @@ def test_links_in_a_grid_of_many_cells(spark, monkeypatch):
     assert hit.sum() > 500 and found >= 0.99 and all(out[i] <= hit[i] for i in out)
 
 
+def test_links_of_vectors_near_a_subspace(spark, monkeypatch):
+    """Neighbours differ within the subspace, as those of trained embeddings do, so they lie across cell borders."""
+    monkeypatch.setattr(multiindex, "OCCUPANCY", 20)
+    rng = np.random.default_rng(9)
+    m = (rng.standard_normal((4000, 8)) @ rng.standard_normal((8, 128)) + 0.05 * rng.standard_normal((4000, 128))).astype(np.float32)
+    out = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>"), 0.9).collect()}
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    hit = (u @ u.T >= 0.9).sum(1) - 1
+    assert hit.sum() > 5000 and sum(out.values()) >= 0.998 * hit.sum() and all(out[i] <= hit[i] for i in out)
+
+
 def test_visits_are_the_nearest_cells():
     rng = np.random.default_rng(1)
     sample = unit(rng.standard_normal((900, 12)))
