@@ -6,6 +6,8 @@ A path that varies in neither, as menus and notices that a site repeats don't, i
 removed from each page. The tree alone can't tell an advert that changes from page to page from an article, nor an
 article copied to many pages from a notice, so what an element says of itself comes first: boilerplate by tag, role,
 class or id is never important, and what lies in an article or main element always is, but for such boilerplate in it.
+A class or id that merely mentions boilerplate (``has-sidebar``) doesn't count against an article or an element around it;
+one that names it (``related-posts``) does only where the page has another article.
 """
 
 from __future__ import annotations
@@ -37,22 +39,31 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
+#: How sure it is that an element is boilerplate: its class or id mentions some, names some, or its kind or place says so.
+MENTIONED, NAMED, SURE = 1, 2, 3
+
 
 class Page:
     """Walks a page: texts of blocks in order, each with the path of its element, whether it is boilerplate, and
     whether it lies in an article; ``children`` has the children of each path."""
 
     def __init__(self, source: str):
+        if self._walk(source, NAMED) and not any(inside and not gone and t and not t.isspace() for t, _, gone, inside in self.parts):
+            self._walk(source, MENTIONED)
+
+    def _walk(self, source: str, named: int) -> bool:
+        """Whether an article was left out for a name of its own or of an element around it; ``named`` is what that name counts as."""
         self.parts: list[tuple[str | None, str, bool, bool]] = []
         self.children: dict[str, list[str]] = {}
-        # path, tag, boilerplate, article
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        lost = False
+        # path, tag, boilerplate (MENTIONED, NAMED or SURE), within main (1) or an article (2)
+        stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]
         at = 0
         while at < len(source):
             m = _TOKEN.search(source, at)
             end = m.start() if m else len(source)
             if end > at:
-                self.parts.append((html.unescape(source[at:end]), *stack[-1][::2], stack[-1][3]))
+                self.parts.append((html.unescape(source[at:end]), stack[-1][0], bool(stack[-1][2]), bool(stack[-1][3])))
             if not m:
                 break
             at = m.end()
@@ -76,14 +87,28 @@ class Page:
             self.children.setdefault(path, []).append(f"{tag}.{classes}")
             path = f"{path}/{tag}.{classes}"
             role = attributes.get("role", "").lower()
-            names = {x.lower() for x in _NAME.findall(f"{classes} {attributes.get('id', '')}")}
-            gone = gone or tag in GONE or tag == "header" and not inside or role in ROLES or "hidden" in attributes or tag not in ("html", "body") and bool(names & NAMES) or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
-            inside = inside or not gone and (tag in ("article", "main") or role in ("article", "main"))
+            kind = 2 if "article" in (tag, role) else 1 if "main" in (tag, role) else 0
+            if tag in GONE or tag == "header" and not inside or role in ROLES or "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+                gone = SURE
+            elif tag not in ("html", "body"):
+                words = [[x.lower() for x in _NAME.findall(token)] for token in f"{classes} {attributes.get('id', '')}".split()]
+                own = 0
+                if any(x in NAMES for token in words for x in token):
+                    if inside == 2:
+                        own = SURE
+                    elif kind:
+                        own = named if any(token[0] in NAMES for token in words if len(token) == 1) else 0
+                    else:
+                        own = named if any(token[0] in NAMES for token in words if token) else MENTIONED
+                lost |= kind > 0 and NAMED in (gone, own)
+                gone = max((x for x in (own, gone) if x > MENTIONED), default=0) if kind else max(own, gone)
+            inside = max(inside, kind if not gone else 0)
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else len(source)
             elif tag not in VOID:
                 stack.append((path, tag, gone, inside))
+        return lost
 
     def text(self, dropped=frozenset()) -> str:
         """The main text; ``dropped`` holds unimportant paths, used where the page has no article."""

@@ -27,6 +27,18 @@ def test_cases(html, text):
     assert Page(html).text() == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='content has-sidebar'><p>x</p><article>a</article></div>", "a"), ("<div id=page-no-comments><main>a</main></div>", "a"), ("<article class='post comments-open'>a</article>", "a"), ("<main><div class=with-nav><article>a</article></div></main>", "a"),
+        ("<div class=widget><article>a</article></div>", "a"), ("<div class=comments-open><article>a<div class=ad-box>ad</div></article></div>", "a"), ("<nav class=has-sidebar><article>a</article></nav>b", "b"), ("<div class=has-sidebar><nav><article>n</article></nav><article>a</article></div>", "a"),
+        ("<article>a</article><div class=related-posts><article>b</article></div>", "a"), ("<main><article>a</article><ol class=comment-list><li><article class=comment-body>c</article></ol></main>", "a"), ("<article>a</article><article class=comment>c</article>", "a"), ("<div class='sidebar'>s</div><article>a</article>", "a"), ("<div class=widget><article>a<article class=comment>c</article></article></div>", "a"),
+    ],
+)
+def test_names_around_articles(html, text):
+    assert Page(html).text() == text
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
     rng = random.Random(4)
     pages = [(i, "http://same.test/p", f"<body><div class='top'><p>Welcome to our site</p></div><div class='text'><p>{' '.join(str(rng.random()) for _ in range(9))}</p></div></body>") for i in range(20)]
