@@ -6,6 +6,8 @@ A path that varies in neither, as menus and notices that a site repeats don't, i
 removed from each page. The tree alone can't tell an advert that changes from page to page from an article, nor an
 article copied to many pages from a notice, so what an element says of itself comes first: boilerplate by tag, role,
 class or id is never important, and what lies in an article or main element always is, but for such boilerplate in it.
+All else is for the tree to judge, on pages with an article too: there, what lies outside it stays if its content varies.
+Articles count in what holds them; paths within them need no judging.
 A class or id that merely mentions boilerplate (``has-sidebar``) doesn't count against an article or an element around it;
 one that names it (``related-posts``) does only where the page has another article.
 """
@@ -45,7 +47,7 @@ MENTIONED, NAMED, SURE = 1, 2, 3
 
 class Page:
     """Walks a page: texts of blocks in order, each with the path of its element, whether it is boilerplate, and
-    whether it lies in an article; ``children`` has the children of each path."""
+    whether it lies in an article; ``children`` has the children of each path, ``articles`` the paths in articles."""
 
     def __init__(self, source: str):
         if self._walk(source, NAMED) and not any(inside and not gone and t and not t.isspace() for t, _, gone, inside in self.parts):
@@ -55,6 +57,7 @@ class Page:
         """Whether an article was left out for a name of its own or of an element around it; ``named`` is what that name counts as."""
         self.parts: list[tuple[str | None, str, bool, bool]] = []
         self.children: dict[str, list[str]] = {}
+        self.articles: set[str] = set()
         lost = False
         # path, tag, boilerplate (MENTIONED, NAMED or SURE), within main (1) or an article (2)
         stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]
@@ -108,24 +111,44 @@ class Page:
                 at = close.end() if close else len(source)
             elif tag not in VOID:
                 stack.append((path, tag, gone, inside))
+                if inside:
+                    self.articles.add(path)
         return lost
 
-    def text(self, dropped=frozenset()) -> str:
-        """The main text; ``dropped`` holds unimportant paths, used where the page has no article."""
+    def text(self, dropped=frozenset(), kept=None) -> str:
+        """The main text; ``dropped`` holds unimportant paths. ``kept`` tells for the judged paths outside articles whether
+        what lies there matters beside an article: outside articles, a page that has one keeps only text whose nearest
+        judged path does."""
         whole = not any(inside and not gone and t for t, _, gone, inside in self.parts)
-        keep = (lambda path, gone, inside: not gone and not any(path == x or path.startswith(x + "/") for x in dropped)) if whole else (lambda path, gone, inside: inside and not gone)
+        verdicts: dict[str, bool] = {}
+
+        def matters(path: str) -> bool:
+            if path not in verdicts:
+                up, outer = [path], path
+                while outer := outer.rpartition("/")[0]:
+                    up.append(outer)
+                verdicts[path] = not any(x in dropped for x in up) and (whole or next((kept[x] for x in up if x in kept), False) if kept else whole)
+            return verdicts[path]
+
+        keep = lambda path, gone, inside: not gone and (inside or matters(path))
         return " ".join("".join(" " if t is None else t if keep(path, gone, inside) else "" for t, path, gone, inside in self.parts).split())
 
     def nodes(self):
-        """(path, presentation, content) of each path outside boilerplate and articles: hashes of its children and of its text."""
+        """(path, presentation, content, outside) of each path outside boilerplate and articles: hashes of its children, of
+        its text, and of what of it lies outside articles (null if nothing does). Articles within count for what holds them."""
         texts: dict[str, list[str]] = {}
+        outer: dict[str, list[str]] = {}
         for t, path, gone, inside in self.parts:
-            if t and not gone and not inside:
+            if t and not gone:
                 while path:
-                    texts.setdefault(path, []).append(t)
+                    if path not in self.articles:
+                        texts.setdefault(path, []).append(t)
+                        if not inside and not t.isspace():
+                            outer.setdefault(path, []).append(t)
                     path = path.rpartition("/")[0]
+        hashed = lambda x: int.from_bytes(hashlib.blake2b(x.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
         for path, own in texts.items():
-            yield path, *(int.from_bytes(hashlib.blake2b(x.encode(errors="replace"), digest_size=8).digest(), "big", signed=True) for x in ("\n".join(self.children.get(path, ())), " ".join("".join(own).split())))
+            yield path, hashed("\n".join(self.children.get(path, ()))), hashed(" ".join("".join(own).split())), hashed(" ".join("".join(outer[path]).split())) if path in outer else None
 
 
 def host_of(url: Column) -> Column:
@@ -138,24 +161,26 @@ def _nodes(batches):
     for b in batches:
         rows = [(h, *n) for h, s in zip(b.column("__rl_host").to_pylist(), b.column("html").to_pylist(), strict=True) if s for n in Page(s).nodes()]
         if rows:
-            host, path, one, two = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["host", "path", "presentation", "content"])
+            host, path, *hashes = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), *(pa.array(x, pa.int64()) for x in hashes)], ["host", "path", "presentation", "content", "outside"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content): the entropies of each path of (__rl_host, html), as parts of the most they could be."""
-    nodes = pages.mapInArrow(_nodes, "host string, path string, presentation long, content long")
-    kinds = nodes.select("host", "path", F.explode(F.create_map(F.lit("presentation"), "presentation", F.lit("content"), "content")).alias("kind", "value"))
+    """(host, path, pages, presentation, content, outside, others): the entropies of each path of (__rl_host, html), as parts
+    of the most they could be; outside is that of what lies outside articles, null where nothing does, on ``others`` pages."""
+    nodes = pages.mapInArrow(_nodes, "host string, path string, presentation long, content long, outside long")
+    kinds = nodes.select("host", "path", F.explode(F.create_map(F.lit("presentation"), "presentation", F.lit("content"), "content", F.lit("outside"), "outside")).alias("kind", "value")).where("value is not null")
     counted = kinds.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     entropy = F.when(F.sum("c") > 1, F.lit(1) - F.sum(F.col("c") * F.log("c")) / (F.sum("c") * F.log(F.sum("c")))).otherwise(1.0)
     each = counted.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), entropy.alias("h"))
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("h"))).alias(k)
-    return each.groupBy("host", "path").agg(F.max("n").alias("pages"), of("presentation"), of("content"))
+    return each.groupBy("host", "path").agg(F.max("n").alias("pages"), of("presentation"), of("content"), of("outside"), F.max(F.when(F.col("kind") == "outside", F.col("n"))).alias("others"))
 
 
 def _texts(batches, carried: list[str]):
     for b in batches:
-        out = [Page(s).text(frozenset(d or ())) if s else "" for s, d in zip(b.column("html").to_pylist(), b.column("dropped").to_pylist(), strict=True)]
+        rows = zip(*(b.column(c).to_pylist() for c in ("html", "dropped", "weak", "strong")), strict=True)
+        out = [Page(s).text(frozenset(d or ()), dict.fromkeys(w or (), False) | dict.fromkeys(k or (), True)) if s else "" for s, d, w, k in rows]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), pa.array(out, pa.string())], [*carried, "__rl_text"])
 
 
@@ -167,10 +192,13 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
     names = [f"__rl_{i}" for i in range(len(pages.columns))]
     told = pages.select(F.col(f"`{source}`").alias("html"), host_of(F.col(f"`{url}`")).alias("__rl_host"), *(F.col(f"`{c}`").alias(n) for c, n in zip(pages.columns, names, strict=True)))
     tree = style_tree(told.select("__rl_host", "html"))
-    weak = tree.where((F.col("pages") >= PAGES) & (F.greatest("presentation", "content") < LEAST))
-    weak = store(weak.groupBy(F.col("host").alias("__rl_host")).agg(F.collect_list("path").alias("dropped")), "pages-dropped")
+    unimportant = (F.col("pages") >= PAGES) & (F.greatest("presentation", "content") < LEAST)
+    judged, beside = F.col("others") >= PAGES, F.col("outside") >= LEAST
+    paths = lambda which: F.collect_list(F.when(which, F.col("path")))
+    found = tree.where(unimportant | judged).groupBy(F.col("host").alias("__rl_host")).agg(paths(unimportant).alias("dropped"), paths(judged & ~beside).alias("weak"), paths(judged & beside).alias("strong"))
+    found = store(found, "pages-dropped")
     schema = ", ".join([*(f"{n} {told.schema[n].dataType.simpleString()}" for n in names), "__rl_text string"])
-    out = told.join(weak, "__rl_host", "left").select("html", "dropped", *names).mapInArrow(lambda it: _texts(it, names), schema)
+    out = told.join(found, "__rl_host", "left").select("html", "dropped", "weak", "strong", *names).mapInArrow(lambda it: _texts(it, names), schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, pages.columns, strict=True)), "__rl_text")
 
 

@@ -50,6 +50,16 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert tree["/body./div.top"]["content"] == 0 and tree["/body./div.text"]["content"] == 1 and tree["/body./div.text"]["presentation"] == 0
 
 
+def test_style_tree_judges_what_lies_beside_articles(spark):
+    """Main text in a div beside a teaser stays, what the site repeats goes; articles count in the body that holds them."""
+    page = lambda i, x: f"<body><div class='top'><p>Welcome</p></div><article>teaser {i}</article><div class='text'><p>main <i>text {i}</i></p></div>{x}</body>"
+    pages = [(i, "http://same.test/p", page(i, "<div class='ad'>ad</div>")) for i in range(20)] + [(100, "http://few.test/", page(100, ""))]
+    pages += [(200 + i, "http://other.test/p", f"<body><div class='top'><p>Welcome</p></div><article>piece {i}</article></body>") for i in range(20)] + [(300, "http://other.test/q", "<body><div class='text'>alone</div></body>")]
+    out = {r["page_id"]: r["__rl_text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"teaser {i} main text {i}" and out[200 + i] == f"piece {i}" for i in range(20))
+    assert out[100] == "teaser 100" and out[300] == "alone"  # too few pages to tell; a body whose articles vary is no notice
+
+
 def test_copied_articles_stay(spark):
     pages = [(i, "http://same.test/p", "<nav>n</nav><article><p>The same text</p></article>") for i in range(30)]
     assert {r["__rl_text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"The same text"}
