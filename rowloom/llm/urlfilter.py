@@ -1,6 +1,7 @@
 """URL filters: rules first, then trust and distrust that spread along links between hosts.
 
-Hosts most of whose pages a rule allows are trusted seeds, those most of whose pages a rule blocks are blocked seeds.
+Hosts most of whose pages a rule allows are trusted seeds, those most of whose pages a rule blocks are blocked seeds; a
+host that is linked but has no page in the table counts as one page with the path ``/``.
 Trust follows links from the trusted (personalised PageRank); distrust follows them backwards, from the blocked to those
 that link to them. A page that no rule fits is blocked if its host has more distrust than trust. Links are summed by
 pairs of hosts first, so rounds work on hosts alone.
@@ -63,22 +64,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     spark: SparkSession = pages.sparkSession
     address = pages.select(host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), *([F.col(f"`{source}`").alias("html")] if source else []))
     table = spark.createDataFrame([(h.lower(), p, v) for h, p, v in rules], "rule_host string, rule_path string, verdict string")
-    hosts = address.groupBy("host").agg(F.count("*").alias("pages"))
-    fits = store(fitting(hosts, table), "url-rules")
+    if source:
+        found = address.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("dst"))
+        edges = found.withColumn("dst", F.lower("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    else:
+        edges = spark.createDataFrame([], "src string, dst string, links long")
+    edges = store(edges, "url-links")
+    hosts = address.select("host").distinct()
+    linked = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti")
+    fits = store(fitting(hosts.unionByName(linked), table), "url-rules")
 
     def ruled(df: DataFrame) -> DataFrame:
         here = F.filter("rules", lambda r: F.startswith(F.col("path"), r["rule_path"]))
         return df.join(fits, "host", "left").withColumn("rule", F.array_max(here)).drop("rules")
 
     verdict = lambda v: F.avg(F.when(F.col("rule.verdict") == v, 1.0).otherwise(0.0)) > 0.5
-    seeds = ruled(address.select("host", "path")).where("host <> ''").groupBy("host").agg(verdict("allow").cast("double").alias("trusted"), verdict("block").cast("double").alias("blocked"))
-    if source:
-        found = address.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("dst"))
-        edges = found.withColumn("dst", F.lower("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
-        edges = edges.join(seeds.select(F.col("host").alias("dst")), "dst")
-    else:
-        edges = spark.createDataFrame([], "src string, dst string, links long")
-    ranks = store(spread(seeds, store(edges, "url-links")), "url-hosts")
+    judged = ruled(address.select("host", "path").unionByName(linked.withColumn("path", F.lit("/"))))
+    seeds = judged.where("host <> ''").groupBy("host").agg(verdict("allow").cast("double").alias("trusted"), verdict("block").cast("double").alias("blocked"))
+    ranks = store(spread(seeds, edges), "url-hosts")
     names = [f"__rl_{i}" for i in range(len(pages.columns))]
     told = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(pages.columns, names, strict=True)), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     out = ruled(told).join(ranks, "host", "left")

@@ -63,6 +63,22 @@ def test_trust_and_distrust_spread(spark):
     assert [out[h] for h in ("spam.test", "spammer.test", "friend.test", "bystander.test", "alone.test")] == ["block", "block", "allow", "allow", "allow"]
 
 
+def test_hosts_that_are_only_linked(spark):
+    """Listed hosts without a page are seeds too: those that link to blocked ones are distrusted."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/p">l</a>' for h in hosts)
+    rules = [("net", "/", "block"), ("good.test", "/", "allow"), ("part.test", "/x/", "block")]
+    pages = [("good.test", link("friend.test", "unknown.test")), ("spam.test", link("www.bad.NET", "unknown.test")), ("second.test", link("spam.test")), ("friend.test", link("unknown.test")), ("partly.test", link("part.test"))]
+    df = spark.createDataFrame([(i, f"http://{h}/", x) for i, (h, x) in enumerate(pages)], "id long, url string, html string")
+    rows = judge(df, rules).collect()
+    edges = {("good.test", "friend.test"): 1, ("good.test", "unknown.test"): 1, ("spam.test", "www.bad.net"): 1, ("spam.test", "unknown.test"): 1, ("second.test", "spam.test"): 1, ("friend.test", "unknown.test"): 1, ("partly.test", "part.test"): 1}
+    trust, distrust = brute(edges, ["good.test"], ["www.bad.net"], sorted({h for e in edges for h in e}))
+    assert len(rows) == len(pages)
+    for r in rows:
+        h = r["__rl_host"]
+        assert r["__rl_verdict"] == ("allow" if h == "good.test" else "block" if distrust[h] > trust[h] else "allow"), h
+    assert {r["__rl_host"] for r in rows if r["__rl_verdict"] == "block"} == {"spam.test", "second.test"}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)]])
 def test_tiny(spark, tmp_path, rows):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
