@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .scratch import store
 from .words import pieces
 
-#: The models are fitted on so many labelled rows at most, those with the least hashes of their ids.
+#: Each language's model is fitted on about so many labelled rows, those with the least hashes of their ids.
 SAMPLE = 4000
 BUCKETS = 1 << 15
 #: Neighbouring trigrams share two bytes of three, so each counts as a third of one.
@@ -76,11 +76,14 @@ class Model:
 def fit(rows: DataFrame) -> Model:
     """A model of (id, text, lang); rows without a language or text are left out."""
     known = rows.where("lang is not null and text is not null").select(F.xxhash64("id").alias("h"), "lang", "text")
-    chosen = known.select("h", "lang").orderBy("h").limit(SAMPLE).agg(F.max("h"), F.array_sort(F.collect_set("lang"))).first()
-    languages = list(chosen[1] or [])
+    sizes = sorted(tuple(r) for r in known.groupBy("lang").agg(F.count("*"), F.min("h")).collect())
+    languages = [r[0] for r in sizes]
     if not languages:
         return Model([], np.zeros((0, BUCKETS + 1)))
-    counted = known.where((F.col("h") <= chosen[0]) & F.col("lang").isin(languages)).select("text", "lang").repartition(8)
+    # hashes are even over 64 bits; a language whose least hash lies beyond its share has the rows of that one
+    cuts = [max(least, (SAMPLE << 64) // n - (1 << 63)) if n > SAMPLE else (1 << 63) - 1 for _, n, least in sizes]
+    cut = F.create_map(*(x for lang, c in zip(languages, cuts, strict=True) for x in (F.lit(lang), F.lit(c).cast("long"))))
+    counted = known.where(F.col("h") <= cut[F.col("lang")]).select("text", "lang").repartition(8)
     total = np.zeros((len(languages), BUCKETS), np.int64)
     for r in counted.mapInArrow(lambda it: _count(it, languages), "counts binary").collect():
         total += np.frombuffer(bytes(r[0]), np.int64).reshape(total.shape)

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.llm import languages
 from rowloom.llm.languages import address_language, fit, identify, op9_language_id
 
 SYLLABLES = {"en": "the and ing ton wh ould er st".split(), "de": "sch ung ei keit der ä ö über".split(), "fr": "eau que ou é è tion la les".split(), "es": "ción ña el los ar ez ue ó".split()}
@@ -52,6 +53,14 @@ def test_evidence_decides_where_text_does_not(spark):
     assert out[1002]["__rl_posterior"] > 0.9
 
 
+def test_rare_languages_have_models_in_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(languages, "SAMPLE", 20)
+    rows = [(i, f"the text number {i}", "en") for i in range(600)] + [(1000 + i, "wort und satz", f"x{i}") for i in range(3)]
+    model = fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert model.languages == ["en", "x0", "x1", "x2", "und"] and len(model.logs) == 5
+    assert all(abs(model.logs[i] - model.logs[4]).max() > 0.1 for i in range(4))  # each is fitted on rows of its own
+
+
 def test_address_language(spark):
     urls = ["http://a.example.com/de/x", "https://b.fr/p", "http://c.example.es:80/", "http://d.com/page", None, "no scheme", "http://e.de/FR"]
     out = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(address_language(F.col("u"))).collect()]
