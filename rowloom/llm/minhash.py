@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import store, together
+from .scratch import dropping, store, together
 from .substrings import LAST, keys
 from .words import Words, lists, mix64, numbers, pieces, windows
 
@@ -231,11 +231,16 @@ def similar(batches):
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(rank, key, n, class, component) for each row of ``docs`` (doc_id, text): class is the least rank of the row's class,
-    component a number that its texts share (null without words).
+    """(rank, key, n, class, component) for each row of ``docs`` (doc_id, text), stored: class is the least rank of the row's
+    class, component a number that its texts share (null without words).
 
     Texts without words (null, empty, blank) link with nothing and are their own class. A null id ranks last.
     """
+    with dropping(docs.sparkSession):
+        return store(_classes(docs), "minhash-classes", result=True)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     seen = store(keys(docs).mapInArrow(sketch, "rank long, key long, digest binary, n long, bands array<long>, sketch binary"), "minhash-sketches")
     found = seen.where("n > 0").groupBy("digest").agg(F.min(F.struct("rank", "key")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     texts = store(found.select(F.monotonically_increasing_id().alias("id"), "digest", "at.rank", "at.key", "bands", "sketch"), "minhash-texts")
@@ -275,9 +280,11 @@ def classes(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the least id, of equals the one whose text
     hashes least, of rows equal in both any one. Rows without words all stay."""
-    found = classes(docs.select("doc_id", "text"))
-    best = found.where("n > 0").groupBy("component").agg(F.min(F.struct("rank", "key")).alias("at")).select("at.rank", "at.key")
-    best = store(best, "minhash-kept").select(F.col("rank").alias("__rl_rank"), F.col("key").alias("__rl_key"))
+    with dropping(docs.sparkSession):
+        found = classes(docs.select("doc_id", "text"))
+        best = found.where("n > 0").groupBy("component").agg(F.min(F.struct("rank", "key")).alias("at")).select("at.rank", "at.key")
+        best = store(best, "minhash-kept", result=True)
+    best = best.select(F.col("rank").alias("__rl_rank"), F.col("key").alias("__rl_key"))
     told = docs.withColumns({"__rl_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__rl_key": F.xxhash64("text")})
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     kept = told.where(words).join(best, ["__rl_rank", "__rl_key"], "left_semi").dropDuplicates(["__rl_rank", "__rl_key"])

@@ -1,10 +1,10 @@
 """Substring dedup: words covered by a window of WINDOW words that also starts in a document with a smaller id go.
 
-Every window's Rabin-Karp hash is made, and windows that may repeat are counted in Spark. Which may: each window holds
-WINDOW - GRAM + 1 runs of GRAM words, and equal windows have the same least run hash, so a window whose least run
-occurs in one document only (as most do) is not repeated and need not travel. That loses nothing and costs a row for
-about each fourteenth word instead of one for each. Exact copies of a text with a smaller id are settled by the hash of
-the whole text: all their windows start in that document too.
+Windows that may repeat get Rabin-Karp hashes of all their words, and these are counted in Spark. Which may: each window
+holds WINDOW - GRAM + 1 runs of GRAM words, whose rolling hashes are made for every text, and equal windows have the same
+least run hash, so a window whose least run occurs in one document only (as most do) is not repeated and is not hashed
+as a whole. That loses nothing and costs a row for about each fourteenth word instead of one for each. Exact copies of a
+text with a smaller id are settled by the hash of the whole text: all their windows start in that document too.
 
 Windows are told apart by two independent 64-bit hashes. Repeated windows merge into maximal intervals of words.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import store
+from .scratch import dropping, store
 from .words import Words, lists, pieces, sliding_min, windows
 
 WINDOW, GRAM = 50, 25
@@ -81,24 +81,37 @@ def keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64("text").alias("key"), "text")
 
 
+def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rank, key, n_words, whole) once for each, ``whole``: all words go, as in a copy; (rank, key, marked): the runs of those
+    that are no copies and share a run with another document."""
+    with dropping(texts.sparkSession):
+        seen = store(texts.mapInArrow(scan, "rank long, key long, digest binary, n_words long, runs array<long>"), "windows-scan")
+        # what rows with frequent keys are joined with is written first: Spark then cuts the frequent keys' partitions
+        smallest = store(seen.groupBy("digest").agg(F.min("rank").alias("smallest")), "windows-digests")
+        runs = seen.join(smallest, "digest").where("rank = smallest").select("rank", "key", F.posexplode("runs").alias("run", "least"))
+        shared = store(runs.groupBy("least").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("least"), "windows-shared")
+        marked = runs.join(shared, "least").groupBy("rank", "key").agg(F.sort_array(F.collect_set("run")).alias("marked"))
+        whole = (F.col("rank") > F.col("smallest")) & (F.col("n_words") >= WINDOW)
+        by_key = seen.drop("runs").join(smallest, "digest").groupBy("rank", "key").agg(F.first("n_words").alias("n_words"), F.first(whole).alias("whole"))
+        return store(by_key, "windows-texts", result=True), store(marked, "windows-marked", result=True)
+
+
+def repeats(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """(rank, key, starts): where windows start that a document with a smaller id has too."""
+    with dropping(texts.sparkSession):
+        hashed = texts.join(marked, ["rank", "key"]).select("rank", "key", "text", "marked")
+        found = store(hashed.mapInArrow(hash_windows, "one long, two long, rank long, key long, start long"), "windows-hashes")
+        first = store(found.groupBy("one", "two").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("one", "two", "a"), "windows-first")
+        starts = found.join(first, ["one", "two"]).where("rank > a").groupBy("rank", "key").agg(F.collect_set("start").alias("starts"))
+        return store(starts, "windows-starts", result=True)
+
+
 def removals(docs: DataFrame) -> DataFrame:
-    """(rank, key, n_words, whole, starts) once for each: whether all words go, or where repeated windows start (null: nowhere)."""
+    """(rank, key, n_words, whole, starts) once for each, stored: whether all words go, or where repeated windows start (null: nowhere)."""
     texts = keys(docs)
-    seen = store(texts.mapInArrow(scan, "rank long, key long, digest binary, n_words long, runs array<long>"), "windows-scan")
-    # what rows with frequent keys are joined with is written first: Spark then cuts the frequent keys' partitions
-    smallest = store(seen.groupBy("digest").agg(F.min("rank").alias("smallest")), "windows-digests")
-    seen = seen.join(smallest, "digest")
-    once = seen.where("rank = smallest")
-    runs = once.select("rank", "key", F.posexplode("runs").alias("run", "least"))
-    shared = store(runs.groupBy("least").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("least"), "windows-shared")
-    marked = runs.join(shared, "least").groupBy("rank", "key").agg(F.sort_array(F.collect_set("run")).alias("marked"))
-    hashed = texts.join(marked, ["rank", "key"]).select("rank", "key", "text", "marked")
-    found = store(hashed.mapInArrow(hash_windows, "one long, two long, rank long, key long, start long"), "windows-hashes")
-    first = store(found.groupBy("one", "two").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("one", "two", "a"), "windows-first")
-    starts = found.join(first, ["one", "two"]).where("rank > a").groupBy("rank", "key").agg(F.collect_set("start").alias("starts"))
-    whole = (F.col("rank") > F.col("smallest")) & (F.col("n_words") >= WINDOW)
-    by_key = seen.groupBy("rank", "key").agg(F.first("n_words").alias("n_words"), F.first(whole).alias("whole"))
-    return by_key.join(starts, ["rank", "key"], "left")
+    with dropping(docs.sparkSession):
+        by_key, marked = candidates(texts)
+        return store(by_key.join(repeats(texts, marked), ["rank", "key"], "left"), "windows-removals", result=True)
 
 
 def covered(n: int, starts) -> np.ndarray:
