@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .members import likely_members
 from .scratch import dropping, store, together
 from .substrings import LAST, keys
 from .words import Words, lists, mix64, numbers, pieces, windows
@@ -146,6 +147,12 @@ def _bucket(b: pa.RecordBatch):
     return b.column("id").to_numpy(), marks, b.column("block").to_numpy(), b.column("i")[0] != b.column("j")[0]
 
 
+def _bands(b: pa.RecordBatch) -> tuple[np.ndarray, int]:
+    """The bands of a bucket's texts, and which of them is the bucket's."""
+    bands = np.asarray(b.column("bands").flatten()).reshape(b.num_rows, BANDS)
+    return bands, int(np.flatnonzero(bands[0] == b.column("band")[0].as_py())[0])
+
+
 def forest(batches):
     """(a, b): a spanning forest of the likely links of each bucket, as found from the least id on."""
     out_a, out_b, size = [], [], 0
@@ -170,15 +177,17 @@ def forest(batches):
 
 
 def apart(batches):
-    """(band, i, j, id) of texts with a likely link to another component in their bucket."""
+    """(band, i, j, id) of texts with a likely link to another component in their bucket, which no band before has too."""
     for b in grouped(batches, ["band", "i", "j"]):
         ids, marks, block, split = _bucket(b)
         own = b.column("component").to_numpy()
+        bands, turn = _bands(b)
         keep = np.zeros(len(ids), bool)
         for x in range(len(ids) - 1):
             rest = x + 1 + np.flatnonzero(own[x + 1 :] != own[x])
             if len(rest) and len(hit := rest[likely(marks, block, split, x, rest)]):
-                keep[x] = True
+                hit = hit[~(bands[hit, :turn] == bands[x, :turn]).any(axis=1)]
+                keep[x] |= len(hit) > 0
                 keep[hit] = True
         if keep.any():
             yield b.filter(pa.array(keep)).select(["band", "i", "j", "id"])
@@ -190,8 +199,7 @@ def verified_links(batches):
     for b in grouped(batches, ["band", "i", "j"]):
         ids, marks, block, split = _bucket(b)
         root = b.column("component").to_numpy().copy()
-        bands = np.array(b.column("bands").to_pylist(), np.int64)
-        turn = int(np.flatnonzero(bands[0] == b.column("band")[0].as_py())[0])
+        bands, turn = _bands(b)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("set")]
         out_a, out_b = [], []
         for x in range(len(ids) - 1):
@@ -252,7 +260,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = store(members.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "sketch"), "minhash-members")
     needed = members.select("id").distinct().join(texts, "id").select("id", "rank", "key")
-    sets = store(keys(docs).join(needed, ["rank", "key"]).select("id", "text").mapInArrow(shingle_sets, "id long, set binary").dropDuplicates(["id"]), "minhash-sets")
+    needed = store(needed, "minhash-needed")
+    found = likely_members(keys(docs), needed, ["rank", "key"]).join(needed, ["rank", "key"]).dropDuplicates(["rank", "key"])
+    sets = store(found.select("id", "text").mapInArrow(shingle_sets, "id long, set binary"), "minhash-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
@@ -266,8 +276,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     labelled = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("band", "i", "j").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").drop("mixed")
     labelled = labelled.join(mixed, ["band", "i", "j"])
+    labelled = labelled.join(texts.select("id", "bands"), "id")
     some = store(dealt(labelled).mapInArrow(apart, "band long, i int, j int, id long"), "minhash-apart")
-    close = some.join(labelled, ["band", "i", "j", "id"]).join(texts.select("id", "bands"), "id").join(sets, "id")
+    close = some.join(labelled, ["band", "i", "j", "id"]).join(sets, "id")
     more = store(dealt(close).mapInArrow(verified_links, "a long, b long").distinct(), "minhash-links")
     parts = components(links.unionByName(more))
     member = texts.join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", "rank", F.coalesce("component", "id").alias("component"))

@@ -6,7 +6,7 @@ least run hash, so a window whose least run occurs in one document only (as most
 as a whole. That loses nothing and costs a row for about each fourteenth word instead of one for each. Exact copies of a
 text with a smaller id are settled by the hash of the whole text: all their windows start in that document too.
 
-Windows are told apart by two independent 64-bit hashes. Repeated windows merge into maximal intervals of words.
+Windows are told apart by two independent hashes, of 64 and 32 bits. Repeated windows merge into maximal intervals of words.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .members import likely_members
 from .scratch import dropping, store
 from .words import Words, lists, pieces, sliding_min, windows
 
@@ -56,7 +57,7 @@ def scan(batches):
 
 
 def hash_windows(batches):
-    """The windows of the runs that may repeat: two hashes, and where they start."""
+    """The windows of the runs that may repeat: two hashes, of 96 bits together, and where they start."""
     for b in pieces(batches, 1 << 20):
         words = Words(b.column("text"))
         hashes = words.hashes(SEEDS[0])
@@ -71,9 +72,9 @@ def hash_windows(batches):
         keep = np.repeat(keep, np.diff(np.append(runs, len(at))))
         at, doc = at[keep], doc[keep]
         one = windows(hashes, WINDOW, SEEDS[0])[at]
-        two = windows(words.hashes(SEEDS[1]), WINDOW, SEEDS[1])[at]
+        two = (windows(words.hashes(SEEDS[1]), WINDOW, SEEDS[1])[at] >> np.uint64(32)).astype(np.uint32)
         take = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), b.column("rank").take(take), b.column("key").take(take), pa.array((at - words.first[doc]).astype(np.int64))], ["one", "two", "rank", "key", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int32)), b.column("rank").take(take), b.column("nth").take(take), pa.array((at - words.first[doc]).astype(np.int32))], ["one", "two", "rank", "nth", "start"])
 
 
 def keys(docs: DataFrame) -> DataFrame:
@@ -82,8 +83,8 @@ def keys(docs: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rank, key, n_words, whole) once for each, ``whole``: all words go, as in a copy; (rank, key, marked): the runs of those
-    that are no copies and share a run with another document."""
+    """(rank, key, n_words, whole) once for each, ``whole``: all words go, as in a copy; (rank, key, marked, nth): the runs of those
+    that are no copies and share a run with another document, and a number of each."""
     with dropping(texts.sparkSession):
         seen = store(texts.mapInArrow(scan, "rank long, key long, digest binary, n_words long, runs array<long>"), "windows-scan")
         # what rows with frequent keys are joined with is written first: Spark then cuts the frequent keys' partitions
@@ -91,6 +92,7 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         runs = seen.join(smallest, "digest").where("rank = smallest").select("rank", "key", F.posexplode("runs").alias("run", "least"))
         shared = store(runs.groupBy("least").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("least"), "windows-shared")
         marked = runs.join(shared, "least").groupBy("rank", "key").agg(F.sort_array(F.collect_set("run")).alias("marked"))
+        marked = marked.withColumn("nth", F.monotonically_increasing_id())
         whole = (F.col("rank") > F.col("smallest")) & (F.col("n_words") >= WINDOW)
         by_key = seen.drop("runs").join(smallest, "digest").groupBy("rank", "key").agg(F.first("n_words").alias("n_words"), F.first(whole).alias("whole"))
         return store(by_key, "windows-texts", result=True), store(marked, "windows-marked", result=True)
@@ -99,11 +101,11 @@ def candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeats(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """(rank, key, starts): where windows start that a document with a smaller id has too."""
     with dropping(texts.sparkSession):
-        hashed = texts.join(marked, ["rank", "key"]).select("rank", "key", "text", "marked")
-        found = store(hashed.mapInArrow(hash_windows, "one long, two long, rank long, key long, start long"), "windows-hashes")
+        hashed = likely_members(texts, marked, ["rank", "key"]).join(marked, ["rank", "key"]).select("rank", "nth", "text", "marked")
+        found = store(hashed.mapInArrow(hash_windows, "one long, two int, rank long, nth long, start int"), "windows-hashes")
         first = store(found.groupBy("one", "two").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("one", "two", "a"), "windows-first")
-        starts = found.join(first, ["one", "two"]).where("rank > a").groupBy("rank", "key").agg(F.collect_set("start").alias("starts"))
-        return store(starts, "windows-starts", result=True)
+        starts = found.join(first, ["one", "two"]).where("rank > a").groupBy("nth").agg(F.collect_set(F.col("start").cast("long")).alias("starts"))
+        return store(starts.join(marked.select("rank", "key", "nth"), "nth").select("rank", "key", "starts"), "windows-starts", result=True)
 
 
 def removals(docs: DataFrame) -> DataFrame:
