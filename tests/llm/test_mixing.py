@@ -3,7 +3,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from rowloom.llm.mixing import mixed, op5_mixing, targets
+from pyspark.sql import functions as F
+
+from rowloom.llm import mixing
+from rowloom.llm.mixing import mixed, op5_mixing, sized_rows, targets
 
 
 def water(sizes, weights=(5, 2, 1), most=3):
@@ -75,6 +78,59 @@ def test_rows_of_the_mix(spark, documents):
         assert got[k] == int(v + 0.5)
 
 
+def played(rows, golden, block=256):
+    """The mix by brute force: rows of (key, source, size), in stream order within their source, and (slot, source, row,
+    words) of all that plays, word by word."""
+    by = defaultdict(list)
+    for key, source, size in rows:
+        by[source] += [key] * size
+    sizes = {s: len(w) for s, w in by.items()}
+    goals = {s: int(x + 0.5) for s, x in water({s: sum(z for _, o, z in rows if o == s) for s in {o for _, o, _ in rows}}).items()}
+    total = sum(goals.values())
+    n = -(-total // block)
+    need = {s: g // sizes[s] * -(-sizes[s] // block) + -(-(g % sizes[s]) // block) for s, g in goals.items() if g}
+    slots, upto, edges = [], 0, []
+    for s in sorted(need):
+        edges.append((upto * (1 << 31) // total, (upto + goals[s]) * (1 << 31) // total, s))
+        upto += goals[s]
+    turn = Counter()
+    for slot in range(n):
+        u = slot * golden % (1 << 31)
+        for s in [s for low, high, s in edges if low <= u < high]:
+            slots.append((slot, s, turn[s]))
+            turn[s] += 1
+    slots += [(n + t, s, t) for s in need for t in range(turn[s], need[s])]
+    out = []
+    for slot, s, t in sorted(slots):
+        blocks = -(-sizes[s] // block)
+        if t < need[s]:
+            words = by[s][t % blocks * block :][:block]
+            left = goals[s] - sum(1 for x in out if x[1] == s)
+            out += [(slot, s, key) for key in words[:left]]
+    return out
+
+
+@pytest.mark.parametrize("golden", [mixing.GOLDEN, 1])
+def test_the_schedule_by_brute_force(spark, documents, monkeypatch, golden):
+    monkeypatch.setattr(mixing, "GOLDEN", golden)
+    docs = spark.read.parquet(documents([r for r in corpus(5) if r[0] is not None][:300]) + "/documents.parquet")
+    rows = sorted(sized_rows(docs, doc_id=F.col("doc_id")).select("hash", "doc_id", "skey", "size").collect())
+    expected = played([(r["doc_id"], r["skey"], r["size"]) for r in rows], golden)
+    taken, first = Counter(k for _, _, k in expected), {}
+    for slot, _, k in expected:
+        first.setdefault(k, slot)
+    out = mixing.mix(sized_rows(docs, doc_id=F.col("doc_id"))).collect()
+    assert {r["doc_id"]: r["taken"] for r in out} == {r["doc_id"]: taken[r["doc_id"]] for r in rows}
+    assert {r["doc_id"]: r["first_slot"] for r in out if r["taken"]} == first and all(r["first_slot"] is None for r in out if not r["taken"])
+    # the rows of the mix come in the order of their slots
+    order, seen = [], set()
+    for r in mixed(docs).collect():
+        if r["doc_id"] not in seen:
+            seen.add(r["doc_id"])
+            order.append(r["doc_id"])
+    assert [first[k] for k in order] == sorted(first.values())
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "one", "en", None)]])
 def test_tiny(spark, documents, rows):
     out = op5_mixing(spark, documents(rows)).collect()
