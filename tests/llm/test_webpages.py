@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from rowloom.llm.webpages import Page, main_text, op10_html_extraction, style_tree
+from rowloom.llm.webpages import Page, main_text, names_boilerplate, op10_html_extraction, style_nodes, style_tree
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T &amp; t</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/x">menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
@@ -46,8 +46,10 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     out = {r["page_id"]: r["__rl_text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert all("Welcome" not in out[i] and len(out[i].split()) == 9 for i in range(20))
     assert all(out[100 + i] == "Welcome to our site" for i in range(3))  # too few pages to tell
-    tree = {r["path"]: r for r in style_tree(spark.createDataFrame([("h", p[2]) for p in pages[:20]], "__rl_host string, html string")).collect()}
-    assert tree["/body./div.top"]["content"] == 0 and tree["/body./div.text"]["content"] == 1 and tree["/body./div.text"]["presentation"] == 0
+    tree = {r["path"]: r for r in style_tree(style_nodes(spark.createDataFrame([("h", i, p[2]) for i, p in enumerate(pages[:20])], "host string, page long, html string"))).collect()}
+    paths = dict(zip(Page(pages[0][2]).style, (int.from_bytes(x, "big", signed=True) for x in Page(pages[0][2]).paths()), strict=True))
+    assert tree[paths["div.top"]]["content"] == 0 and tree[paths["div.text"]]["content"] == 1 and tree[paths["div.text"]]["presentation"] == 0
+    assert all("Welcome" in r["__rl_text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), by_tree=False).collect())
 
 
 def test_style_tree_judges_what_lies_beside_articles(spark):
@@ -75,3 +77,41 @@ def test_query(spark, tmp_path):
     assert by[1, "http://a.test/x"]["n_chars"] == len(by[1, "http://a.test/x"]["text"])
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none/pages.parquet"))
     assert op10_html_extraction(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article>Now <span class="share-price">42 USD</span>.</article>', "Now 42 USD."), ('<article><p>a<div class="reply-rate">50 %</div></article>', "a 50 %"), ('<article><section class="notices-of-motion">m</section></article>', "m"), ('<article class="social">s</article>', "s"),
+        ("<article>x <math><mi>y</mi></math></article>", "x y"), ('<article>a<div class="ad ad-300x250">ad</div><div id="relatedPosts">r</div><div class="share">s</div></article>', "a"), ("<article> </article><p>x</p>", "x"),
+    ],
+)
+def test_articles_keep_what_only_mentions_boilerplate(html, text):
+    assert Page(html).text() == text
+
+
+def test_names():
+    assert all(map(names_boilerplate, ["ad", "ad-box", "adSlot_2", "comments-list", "cookie-notice", "newsletter-signup-form", "NavBar"]))
+    assert not any(map(names_boilerplate, ["", "content", "share-price", "has-sidebar", "page-no-comments", "comments-open", "reply-rate", "adept", "42"]))
+
+
+def test_the_tree_decides_within_articles_too(spark):
+    """A box that a site repeats in all its articles goes, running text and boxes that vary stay; copied articles stay whole."""
+    page = lambda t: f"<body><article><h1>Daily report</h1><div class='lead'>lead {t}</div><p>text</p><div class='end'>Call us <b>now</b></div></article></body>"
+    pages = [(i, "http://same.test/p", page(i)) for i in range(20)] + [(100 + i, "http://copies.test/p", page("x")) for i in range(20)] + [(200, "http://few.test/", page("y")), (201, "http://few.test/", page("z"))]
+    out = {r["page_id"]: r["__rl_text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Daily report lead {i} text" and out[100 + i] == "Daily report lead x text Call us now" for i in range(20))
+    assert out[200] == "Daily report lead y text Call us now"
+    bare = [(i, "http://bare.test/p", "<div>all the same</div><p>p") for i in range(20)]
+    assert {r["__rl_text"] for r in main_text(spark.createDataFrame(bare, "page_id long, url string, html string")).collect()} == {"all the same p"}
+
+
+def test_deep_pages_take_linear_memory():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for source in ("<div>x" * 40_000, "<b>" * 40_000 + "<hr>" * 20_000 + "t", "<div class=c>" * 20_000 + "</p></section>" * 20_000 + "x" + "</div>" * 20_000, "<article>" + "<div>a" * 40_000, "<b><p>" * 20_000 + "</b>" * 20_000):
+        p = Page(source)
+        tree = {x[0]: (30, 0.9) for x in p.nodes()}
+        assert p.text() == " ".join(p.text().split()) and isinstance(p.text(tree), str)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
