@@ -9,17 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import chunk_bits, chunk_of, order_hash, running
-from .scratch import store
+from .scratch import dropping, store
 
-
-#: Groups of a chunk, which the driver gets together.
-GROUPS = 65_536
+#: Groups of a chunk, which the driver gets together, and chunks that it keeps: 24 bytes for each of their groups.
+GROUPS, CHUNKS = 65_536, 16
 
 
 class GroupIndex:
     """Group sizes in the order of their keys: chunk totals on the driver, one chunk's groups at a time when asked for.
 
-    There is one total for each 65,536 groups or so, and a chunk holds about as many groups, whatever the input.
+    There is one total for each 65,536 groups or so, and a chunk holds about as many groups, whatever the input. The table
+    is sorted by chunk, so a chunk is read without the others.
     """
 
     def __init__(self, groups: DataFrame):
@@ -28,36 +28,44 @@ class GroupIndex:
         self.chunks = [r[0] for r in rows]
         self.ends = list(accumulate(r[1] for r in rows))
         self.total, self.largest = (self.ends[-1] if rows else 0), max((r[2] for r in rows), default=0)
-        self.fetched: dict[int, tuple[list[int], list]] = {}
-
-    def inside(self, at: int) -> tuple[list[int], list]:
-        """Running sums up to each group of a chunk, and the groups' keys."""
-        if at not in self.fetched:
-            rows = self.groups.where(F.col("chunk") == self.chunks[at]).select("k", "g", "bytes").orderBy("k", "g").collect()
-            start = self.ends[at - 1] if at else 0
-            if len(self.fetched) > 64:
-                self.fetched.pop(next(iter(self.fetched)))
-            self.fetched[at] = list(accumulate((r[2] for r in rows), initial=start))[1:], [(r[0], bytes(r[1])) for r in rows]
-        return self.fetched[at]
+        self.fetched: dict[int, tuple] = {}
+
+    def inside(self, at: int):
+        """Running sums up to each group of a chunk, and the groups' keys: columns of numbers and of 16 bytes each."""
+        found = self.fetched.pop(at, None)
+        if found is None:
+            rows = self.groups.where(F.col("chunk") == self.chunks[at]).select("k", "g", "bytes").toArrow().combine_chunks().sort_by([("k", "ascending"), ("g", "ascending")])
+            sums = rows.column("bytes").to_numpy().cumsum() + (self.ends[at - 1] if at else 0)
+            found = sums, rows.column("k"), rows.column("g")
+        self.fetched[at] = found  # the one asked for last is kept longest
+        if len(self.fetched) > CHUNKS:
+            self.fetched.pop(next(iter(self.fetched)))
+        return found
+
+    def group(self, at: int, n: int) -> tuple[int, tuple]:
+        sums, k, g = self.inside(at)
+        return int(sums[n]), (k[n].as_py(), g[n].as_py())
 
     def last_until(self, limit: int) -> tuple[int, tuple | None]:
         """The end and key of the last group that ends at or before ``limit``."""
         at = bisect_right(self.ends, limit)
-        if at < len(self.ends):
-            sums, keys = self.inside(at)
-            if k := bisect_right(sums, limit):
-                return sums[k - 1], keys[k - 1]
-        if not at:
-            return 0, None
-        sums, keys = self.inside(at - 1)
-        return sums[-1], keys[-1]
+        if at < len(self.ends) and (n := int(self.inside(at)[0].searchsorted(limit, "right"))):
+            return self.group(at, n - 1)
+        return self.group(at - 1, -1) if at else (0, None)
+
+    def end_until(self, limit: int) -> int:
+        """The end of the last group that ends at or before ``limit``; a chunk is read only if the limit lies within it."""
+        at = bisect_right(self.ends, limit)
+        before = self.ends[at - 1] if at else 0
+        if at == len(self.ends) or before == limit:
+            return before
+        n = int(self.inside(at)[0].searchsorted(limit, "right"))
+        return int(self.inside(at)[0][n - 1]) if n else before
 
     def first_beyond(self, start: int) -> tuple[int, tuple]:
         """The end and key of the first group that ends after ``start``."""
         at = bisect_right(self.ends, start)
-        sums, keys = self.inside(at)
-        k = bisect_right(sums, start)
-        return sums[k], keys[k]
+        return self.group(at, int(self.inside(at)[0].searchsorted(start, "right")))
 
 
 def fits(index: GroupIndex, capacity: int, shards: int, start: int = 0) -> bool:
@@ -65,7 +73,7 @@ def fits(index: GroupIndex, capacity: int, shards: int, start: int = 0) -> bool:
     for _ in range(shards):
         if start >= index.total:
             return True
-        start, _ = index.last_until(start + capacity)
+        start = index.end_until(start + capacity)
     return start >= index.total
 
 
@@ -96,23 +104,29 @@ def shard(df: DataFrame, shards: int, size: Column, group: Column, carry: dict[s
     """Put rows into ``shards`` contiguous runs of atomic groups, the largest run as small as can be.
 
     ``size``: a positive long. ``group``: binary, a well-spread hash; rows that share it stay together. ``carry``:
-    columns to return; ``identity``: those of them that order rows within a shard. Adds shard and slot (gapless from
-    0 in each shard). Equal rows get different slots in either order; an empty table gives an empty result.
+    columns to return, none of them named shard or slot; ``identity``: those of them that order rows within a shard.
+    Adds shard and slot (gapless from 0 in each shard). Equal rows get different slots in either order; an empty table gives an empty result.
     """
-    rows = store(df.select(*(c.alias(n) for n, c in carry.items()), size.alias("__rl_size"), group.alias("__rl_g")), "shard-rows")
-    rows = rows.withColumn("__rl_k", F.conv(F.substring(F.hex("__rl_g"), 1, 15), 16, 10).cast("long"))
-    groups = rows.groupBy(F.col("__rl_k").alias("k"), F.col("__rl_g").alias("g")).agg(F.sum("__rl_size").alias("bytes"))
-    n = rows.count()
-    bits = chunk_bits(n, GROUPS)
-    groups = store(groups.withColumn("chunk", F.shiftright("k", 60 - bits) if bits else F.lit(0)), "shard-groups")
-    _, cuts = minimax_cuts(GroupIndex(groups), shards)
+    if {"shard", "slot"} & set(carry):
+        raise ValueError("shard and slot are added, so no carried column may have these names")
+    names = {n: f"__rl_{i}" for i, n in enumerate(carry)}
+    with dropping(df.sparkSession):
+        rows = store(df.select(*(c.alias(names[n]) for n, c in carry.items()), size.alias("__rl_size"), group.alias("__rl_g")), "shard-rows", result=True)
+        rows = rows.withColumn("__rl_k", F.conv(F.substring(F.hex("__rl_g"), 1, 15), 16, 10).cast("long"))
+        groups = rows.groupBy(F.col("__rl_k").alias("k"), F.col("__rl_g").alias("g")).agg(F.sum("__rl_size").alias("bytes"))
+        n = rows.count()
+        bits = chunk_bits(n, GROUPS)
+        groups = groups.withColumn("chunk", F.shiftright("k", 60 - bits) if bits else F.lit(0))
+        groups = store(groups.repartitionByRange("chunk").sortWithinPartitions("chunk"), "shard-groups")
+        _, cuts = minimax_cuts(GroupIndex(groups), shards)
     number = F.lit(0)
     for k, g in cuts:
-        beyond = (F.col("__rl_k") > k) | ((F.col("__rl_k") == k) & (F.col("__rl_g") > F.lit(g)))
+        beyond = (F.col("__rl_k") > k) | ((F.col("__rl_k") == k) & (F.col("__rl_g") > F.lit(bytes(g))))
         number = number + F.when(beyond, 1).otherwise(0)
-    rows = rows.withColumn("shard", number).withColumn("__rl_o", order_hash(*map(F.col, identity))).withColumn("__rl_c", chunk_of(F.col("__rl_o"), chunk_bits(n)))
-    out = running(rows, ["shard"], "__rl_c", ["__rl_o", *identity], F.lit(1), "slot")
-    return out.select(*carry, "shard", F.col("slot").cast("long").alias("slot"))
+    identity = [names[n] for n in identity]
+    rows = rows.withColumn("__rl_shard", number).withColumn("__rl_o", order_hash(*map(F.col, identity))).withColumn("__rl_c", chunk_of(F.col("__rl_o"), chunk_bits(n)))
+    out = running(rows, ["__rl_shard"], "__rl_c", ["__rl_o", *identity], F.lit(1), "__rl_slot")
+    return out.select(*(F.col(names[n]).alias(n) for n in carry), F.col("__rl_shard").alias("shard"), F.col("__rl_slot").cast("long").alias("slot"))
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from rowloom.llm.sharding import GroupIndex, fits, minimax_cuts, op6_sharding
+from rowloom.llm import sharding
+from rowloom.llm.sharding import GroupIndex, fits, minimax_cuts, op6_sharding, shard
 
 
 def brute(sizes, shards):
@@ -26,7 +31,7 @@ class Fake(GroupIndex):
 
     def inside(self, at):
         start = self.ends[at - 1] if at else 0
-        return list(accumulate(self.parts[at], initial=start))[1:], [(at * self.chunk + i, b"") for i in range(len(self.parts[at]))]
+        return np.array(self.parts[at]).cumsum() + start, pa.array([at * self.chunk + i for i in range(len(self.parts[at]))]), pa.array([b""] * len(self.parts[at]))
 
 
 def test_capacity_is_the_least():
@@ -60,6 +65,25 @@ def test_query(spark, documents):
     assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out if r["doc_id"] is not None and r["text_crc32"] is not None) == [e for e in expected if e[2] is not None]
 
 
+def test_many_chunks_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS", 16)
+    monkeypatch.setattr(sharding, "CHUNKS", 2)
+    rng = random.Random(6)
+    sizes = [rng.choice((1, 3, rng.randrange(1, 200))) for _ in range(400)]
+    df = spark.createDataFrame([(i, n, f"g{i % 350}") for i, n in enumerate(sizes)], "i int, size long, g string")
+    out = shard(df, 5, F.col("size"), F.substring(F.unhex(F.sha2("g", 256)), 1, 16), {"i": F.col("i"), "size": F.col("size"), "hash": F.col("g"), "__rl_size": F.lit("x")}, ["i"])
+    assert out.columns == ["i", "size", "hash", "__rl_size", "shard", "slot"]
+    loads, groups = defaultdict(int), defaultdict(int)
+    rows = out.collect()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+        groups[r["hash"]] += r["size"]
+    order = sorted(groups, key=lambda g: hashlib.sha256(g.encode()).digest())
+    assert len(rows) == 400 and max(loads.values()) == brute([groups[g] for g in order], 5)
+    with pytest.raises(ValueError, match="shard and slot"):
+        shard(df, 5, F.col("size"), F.unhex("g"), {"slot": F.col("i")}, ["slot"])
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, "")]])
 def test_tiny(spark, documents, rows):
     out = op6_sharding(spark, documents(rows)).collect()
