@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import grouped
-from .scratch import store, together
+from .scratch import dropping, store, together
 from .substrings import LAST
 from .vectors import CENTROIDS, as_matrix, codebook, distinct_vectors, sampled, squared
 
@@ -45,7 +45,7 @@ class Grid:
         k = max(1, min(CENTROIDS, round((rows / OCCUPANCY) ** 0.5)))
         self.one = codebook(sample[:, : self.half], k) if self.half else np.zeros((1, 0))
         self.two = codebook(sample[:, self.half :], k)
-        self.visits = 1
+        self.visits, self.places = 1, None
         some = sample[:: max(1, len(sample) // TRIALS)]
         rng = np.random.default_rng(5)
         off = rng.standard_normal(some.shape)
@@ -63,25 +63,35 @@ class Grid:
         return a.argmin(1) * len(self.two) + b.argmin(1)
 
     def rank(self, m: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """How many cells each row visits before the one given."""
+        """How many cells each row visits before the one given: for each half of the first kind, the halves of the second that
+        are near enough are counted in their sorted distances."""
         out = np.zeros(len(m), np.int64)
-        step = max(1, min(256, HELD // (len(self.one) * len(self.two))))
-        for at in range(0, len(m), step):
-            a, b = self.distances(m[at : at + step])
-            sums = (a[:, :, None] + b[:, None, :]).reshape(len(a), -1)
-            out[at : at + step] = (sums < sums[np.arange(len(a)), cells[at : at + step]][:, None]).sum(1)
+        for at in range(0, len(m), 256):
+            a, b = self.distances(m[at : at + 256])
+            i, j = np.divmod(cells[at : at + 256], len(self.two))
+            rows = np.arange(len(a))
+            limit = a[rows, i] + b[rows, j]
+            b.sort(axis=1)
+            for r in rows:
+                out[at + r] = np.searchsorted(b[r], limit[r] - a[r][a[r] < limit[r]]).sum()
         return out
 
     def visited(self, m: np.ndarray) -> np.ndarray:
         """The cells each row visits, its own among them."""
-        a, b = self.distances(m)
         t = min(self.visits, len(self.one) * len(self.two))
-        oa, ob = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
-        pairs = np.array([(i, j) for i in range(min(t, a.shape[1])) for j in range(min(t // (i + 1), b.shape[1]))])
-        i, j = pairs[:, 0], pairs[:, 1]
-        sums = np.take_along_axis(a, oa, 1)[:, i] + np.take_along_axis(b, ob, 1)[:, j]
-        best = np.argsort(sums, axis=1, kind="stable")[:, :t]
-        return np.take_along_axis(oa[:, i] * len(self.two) + ob[:, j], best, 1)
+        if self.places is None or self.places[0] != t:
+            width = [min(t // (i + 1), len(self.two)) for i in range(min(t, len(self.one)))]
+            self.places = t, np.repeat(np.arange(len(width)), width), np.concatenate([np.arange(w) for w in width])
+        _, i, j = self.places
+        out = np.empty((len(m), t), np.int64)
+        step = max(1, HELD // len(i))
+        for at in range(0, len(m), step):
+            a, b = self.distances(m[at : at + step])
+            oa, ob = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
+            sums = np.take_along_axis(a, oa, 1)[:, i] + np.take_along_axis(b, ob, 1)[:, j]
+            best = np.argsort(sums, axis=1, kind="stable")[:, :t]
+            out[at : at + step] = np.take_along_axis(oa, i[best], 1) * len(self.two) + np.take_along_axis(ob, j[best], 1)
+        return out
 
 
 def rounded(ranks: np.ndarray) -> np.ndarray:
@@ -131,10 +141,10 @@ def place(batches, grid: Grid, width: int):
             m = unit(as_matrix(p.column("vec"), width))
             v = grid.visited(m)
             visits = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
-            yield pa.RecordBatch.from_arrays([p.column("id"), p.column("copies"), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(grid.cells(m)), visits], ["id", "copies", "vec", "cell", "visits"])
+            yield pa.RecordBatch.from_arrays([p.column("id"), p.column("copies"), p.column("vec"), pa.array(grid.cells(m)), visits], ["id", "copies", "vec", "cell", "visits"])
 
 
-def met(batches, least: float):
+def met(batches, least: float, width: int):
     """Links of those in a cell with those that visit it: (a, null, links) to count, (a, b, 0) to join components.
 
     A link is counted for the visitor, and for the other too unless that one visits the visitor's cell and counts itself.
@@ -144,16 +154,15 @@ def met(batches, least: float):
         here, there = g.filter(pa.array(~visitor)), g.filter(pa.array(visitor))
         if not here.num_rows or not there.num_rows:
             continue
-        m, ids, copies = as_matrix(here.column("vec"), 8), here.column("id").to_numpy(), here.column("copies").to_numpy()
+        m, ids, copies = unit(as_matrix(here.column("vec"), width)), here.column("id").to_numpy(), here.column("copies").to_numpy()
         back = np.zeros(len(ids), np.int64)
         other, times, own = there.column("id").to_numpy(), there.column("copies").to_numpy(), there.column("own").to_numpy()
-        visits = here.column("visits")
-        flat, offsets = np.asarray(visits.flatten()), np.asarray(visits.offsets) - visits.offsets[0].as_py()
+        visits = np.asarray(here.column("visits").flatten()).reshape(len(ids), -1)  # all rows visit as many cells
         root = np.arange(len(ids))
         a, b, n = [], [], []
         for at in range(0, len(other), 512):
             q = slice(at, at + 512)
-            hits = as_matrix(there.column("vec").slice(at, 512), 8) @ m.T >= least
+            hits = unit(as_matrix(there.column("vec").slice(at, 512), width)) @ m.T >= least
             hits &= other[q][:, None] != ids[None]
             for x in np.flatnonzero(hits.any(1)):
                 own_hits = np.flatnonzero(hits[x])
@@ -163,9 +172,7 @@ def met(batches, least: float):
                     for r in roots[1:]:
                         a.append(int(ids[r])), b.append(int(ids[roots[0]])), n.append(0)
                 a.append(other[at + x]), b.append(int(ids[roots[0]])), n.append(0)
-                for y in own_hits:
-                    if own[at + x] not in flat[offsets[y] : offsets[y + 1]]:
-                        back[y] += times[at + x]
+                back[own_hits[(visits[own_hits] != own[at + x]).all(axis=1)]] += times[at + x]
         for y in np.flatnonzero(back):
             a.append(ids[y]), b.append(None), n.append(int(back[y]))
         if a:
@@ -178,6 +185,11 @@ def near_vectors(df: DataFrame, least: float) -> DataFrame:
     Rows with equal vectors are one point that stands for all. Null, zero and non-finite vectors link with nothing and
     are their own component. Rows that share an id are told apart by their vectors alone.
     """
+    with dropping(df.sparkSession):
+        return store(_near_vectors(df, least), "grid-classes", result=True)
+
+
+def _near_vectors(df: DataFrame, least: float) -> DataFrame:
     rows, distinct, width = distinct_vectors(df)
     n = distinct.count()
     known = lambda c: F.when(F.col(c) < LAST, F.col(c))
@@ -196,7 +208,7 @@ def near_vectors(df: DataFrame, least: float) -> DataFrame:
     there = arrive.join(split, "cell").withColumn("turn", part("turns")).withColumn("block", every("blocks")).withColumn("visits", F.lit(None).cast("array<long>"))
     columns = ["cell", "block", "turn", "id", "copies", "vec", "own", "visits"]
     dealt = together(here.select(columns).unionByName(there.select(columns)), ["cell", "block", "turn"])
-    found = store(dealt.mapInArrow(lambda it: met(it, least), "a long, b long, n long"), "grid-links")
+    found = store(dealt.mapInArrow(lambda it: met(it, least, width), "a long, b long, n long"), "grid-links")
     count = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     parts = components(found.where("b is not null").select("a", "b").distinct()).withColumnRenamed("node", "id")
     each = distinct.select("id", "digest", "first", "copies").join(count, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
