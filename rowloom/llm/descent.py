@@ -1,35 +1,45 @@
 """Approximate nearest neighbours: NN-descent builds a graph, queries search it greedily.
 
-The graph starts from neighbours within coarse cells (each vector in its CELLS nearest). A round of NN-descent brings
-the neighbours of each vector, in both directions, together with their vectors, compares them with each other, and
-offers each whatever is nearer than its farthest neighbour so far. A query then keeps its nearest WIDTH vectors found,
-looks up the neighbours of those it hasn't looked up yet, and goes on until none is left. Rows with equal vectors are
-one point of the graph.
+Each vector starts with the nearest of small blocks as neighbours: (parts of) its CELLS nearest coarse cells, and, for the
+first round, a block dealt at random, so that the graph hangs together. In a round of NN-descent the neighbours of each vector, in both directions, are compared with each other, pairs of which neither is new
+left out, and each is offered whatever is nearer than its farthest neighbour so far. Rounds go on until few offers are
+taken. A round is done by blocks: vectors of a block have many neighbours in common, so a block fetches each vector that
+its lists name once. So is a hop of the search: queries go to the blocks of the vectors that they meet. A query keeps its nearest WIDTH vectors found, from itself and a few entry points on (so that no
+part of the graph is out of reach), looks up the neighbours of those it hasn't looked up yet, and goes on until none is
+left. Rows with equal vectors are one point of the graph. Distances in the graph are in single precision, as they only
+guide the search; those of the result are exact.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .minhash import grouped
-from .scratch import store, together
-from .substrings import LAST
+from .scratch import dropping, store, together
 from .vectors import CENTROIDS, as_matrix, codebook, distinct_vectors, sampled, squared
 
-#: Neighbours kept of each vector, and rounds of descent.
-DEGREE, ROUNDS = 20, 2
-#: Vectors of a coarse cell on average, cells that each is put in, and the most that one task compares with each other.
-OCCUPANCY, CELLS, BLOCK = 512, 4, 2048
-#: Vectors a query keeps, and how many of them it looks up in one hop.
-WIDTH, LOOKED_UP = 512, 160
+#: Neighbours kept of each vector, those that have it as one and are compared in a round, and rounds at most.
+DEGREE, REVERSE, ROUNDS = 24, 16, 8
+#: Offers taken, as a part of all neighbours, below which rounds end.
+FEW = 0.02
+#: Vectors of a coarse cell on average, of a block at most (on average, too), cells that each is put in, and neighbours
+#: kept of a block dealt at random.
+OCCUPANCY, BLOCK, CELLS, RANDOM = 128, 256, 2, 4
+#: Vectors a query keeps, how many of them it looks up in one hop, and the points it begins from besides itself.
+WIDTH, LOOKED_UP, ENTRIES = 512, 256, 32
+#: Pairs compared at a time.
+PAIRS = 1 << 21
 
 
 def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of one vector to many, components added in their order; scaled where squares overflow or vanish."""
+    """Euclidean distances of rows of ``a`` to those of ``b``, components added in their order; scaled where squares overflow or vanish."""
     d = b - a
     out = np.zeros(len(d))
     with np.errstate(over="ignore"):
@@ -43,41 +53,104 @@ def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def put(batches, centres: np.ndarray, width: int):
+    """(id, cell, turn): the CELLS nearest coarse cells of each vector, nearest first."""
     for b in batches:
         for at in range(0, b.num_rows, 1024):
             p = b.slice(at, 1024)
             d = squared(as_matrix(p.column("vec"), width), centres)
             k = min(CELLS, d.shape[1])
             near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            take = pa.array(np.repeat(np.arange(p.num_rows), k))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), p.column("id").take(take), p.column("vec").take(take)], ["cell", "id", "vec"])
+            near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+            yield pa.RecordBatch.from_arrays([p.column("id").take(pa.array(np.repeat(np.arange(p.num_rows), k))), pa.array(near.ravel().astype(np.int64)), pa.array(np.tile(np.arange(k), p.num_rows).astype(np.int32))], ["id", "cell", "turn"])
+
+
+def single(column: pa.Array, width: int, centre: np.ndarray | None = None) -> np.ndarray:
+    """Vectors in single precision, around ``centre`` (their mean, if not given), so that differences of near ones keep digits."""
+    m = as_matrix(column, width)
+    top = np.abs(m).max(initial=0)
+    m = m / top if top > 1e15 or 0 < top < 1e-15 else m  # squares must fit
+    return (m - (m.mean(0) if centre is None else centre)).astype(np.float32)
+
+
+def best(u: np.ndarray, v: np.ndarray, d: np.ndarray, new: np.ndarray, k: int):
+    """The k nearest (u, v, d, new) of each u, each v once (as not new if it is both)."""
+    order = np.lexsort((d, new, v, u))
+    u, v, d, new = u[order], v[order], d[order], new[order]
+    once = np.ones(len(u), bool)
+    once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v, d, new = u[once], v[once], d[once], new[once]
+    order = np.lexsort((v, d, u))
+    u, v, d, new = u[order], v[order], d[order], new[order]
+    first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+    rank = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u))))
+    return u[rank < k], v[rank < k], d[rank < k], new[rank < k]
+
+
+EDGES = "u long, v long, d float, new boolean"
+
+
+def edges(u, v, d, new) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float32()), pa.array(new, pa.bool_())], ["u", "v", "d", "new"])
 
 
 def nearest_inside(batches, width: int):
-    """(u, v, d): the DEGREE nearest of each vector within its group."""
-    for g in grouped(batches, ["cell", "block"]):
-        ids, m = g.column("id").to_numpy(), as_matrix(g.column("vec"), width)
-        k = min(DEGREE, len(ids) - 1)
-        if k < 1:
-            continue
-        m = m - m.mean(0)
-        for at in range(0, len(ids), 512):
+    """The nearest of each vector within its block: DEGREE, or RANDOM in one dealt at random (turn -1)."""
+    for g in grouped(batches, ["block"]):
+        ids, m = g.column("id").to_numpy(), single(g.column("vec"), width)
+        dealt = g.column("turn")[0].as_py() < 0
+        k = min(RANDOM if dealt else DEGREE, len(ids) - 1)
+        for at in range(0, len(ids) if k > 0 else 0, 512):
             d = squared(m[at : at + 512], m)
             d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
             near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 512], k)), pa.array(ids[near].ravel()), pa.array(np.sqrt(np.take_along_axis(d, near, 1)).ravel())], ["u", "v", "d"])
+            yield edges(np.repeat(ids[at : at + 512], k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel(), np.full(near.size, not dealt))
 
 
 def join_around(batches, width: int):
-    """(u, v, d) among the neighbours of each centre, where v is nearer to u than u's farthest neighbour so far."""
-    for g in grouped(batches, ["centre"]):
-        ids, m, limit = g.column("id").to_numpy(), as_matrix(g.column("vec"), width), g.column("limit").to_numpy()
-        d = squared(m - m[0], m - m[0])
-        np.fill_diagonal(d, np.inf)
-        d = np.sqrt(d)
-        u, v = np.nonzero(d < limit[:, None])
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(d[u, v])], ["u", "v", "d"])
+    """Offers (u, v, d): pairs among the neighbours of each centre of a block, one of them new, where v is nearer to u than u's
+    farthest neighbour so far. Rows of a block: vectors with their limits, and centres with their lists."""
+    for g in grouped(batches, ["block"]):
+        listed = g.column("near").is_valid()
+        points, near = g.filter(pc.invert(listed)), g.filter(listed).column("near")
+        ids, limit, m = points.column("id").to_numpy(), points.column("limit").to_numpy(), single(points.column("vec"), width)
+        order = np.argsort(ids)
+        size = np.diff(np.asarray(near.offsets))
+        flat = near.flatten()
+        at = order[np.searchsorted(ids[order], flat.field("id").to_numpy())]
+        place = np.full((len(size), max(size, default=0)), -1)
+        fresh = np.zeros(place.shape, bool)
+        spot = np.arange(place.shape[1])[None] < size[:, None]
+        place[spot], fresh[spot] = at, flat.field("new").to_numpy(zero_copy_only=False)
+        square = (m * m).sum(1)
+        found = []
+        for start in range(0, len(place), max(1, PAIRS // max(1, place.shape[1] ** 2))):
+            p, f = (x[start : start + max(1, PAIRS // max(1, place.shape[1] ** 2))] for x in (place, fresh))
+            d = square[p][:, :, None] + square[p][:, None, :] - 2 * (m[p] @ m[p].transpose(0, 2, 1))
+            ok = (p[:, :, None] != p[:, None, :]) & (p >= 0)[:, :, None] & (p >= 0)[:, None, :] & (f[:, :, None] | f[:, None, :]) & (d < limit[p][:, :, None])
+            c, i, j = np.nonzero(ok)
+            found.append((p[c, i], p[c, j], np.maximum(d[c, i, j], 0)))
+        if found:
+            u, v, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield edges(*best(ids[u], ids[v], d, np.ones(len(u), bool), DEGREE))
+
+
+def merge(batches):
+    """The DEGREE nearest of each u among its neighbours so far and what it is offered."""
+    held = None
+
+    def kept(t: pa.Table) -> pa.RecordBatch:
+        return edges(*best(*(t.column(c).to_numpy() for c in ("u", "v", "d", "new")), DEGREE))
+
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
+            u = t.column("u").to_numpy()
+            cut = int(np.searchsorted(u, u[-1]))  # the last u may go on in the next batch
+            if cut:
+                yield kept(t.slice(0, cut))
+            held = t.slice(cut)
+    if held is not None:
+        yield kept(held)
 
 
 def nearest(edges: DataFrame, of: str, k: int) -> DataFrame:
@@ -86,81 +159,129 @@ def nearest(edges: DataFrame, of: str, k: int) -> DataFrame:
     return edges.withColumn("__rl_r", F.row_number().over(W.partitionBy(of).orderBy("d", other))).where(F.col("__rl_r") <= k).drop("__rl_r")
 
 
-def build_graph(points: DataFrame, width: int) -> DataFrame:
-    """(u, v, d): near neighbours v of each point u of (id, digest, vec)."""
+def build_graph(points: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """EDGES: near neighbours v of each point u of (id, digest, vec); and (id, vec, block), block its part of its nearest cell."""
     n = points.count()
-    sample = sampled(points, width)
-    centres = codebook(sample, min(CENTROIDS, max(1, n // OCCUPANCY)))
-    cells = store(points.select("id", "vec").mapInArrow(lambda it: put(it, centres, width), "cell long, id long, vec binary"), "graph-cells")
-    blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = cells.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
-    dealt = together(dealt.select("cell", "block", "id", "vec"), ["cell", "block"])
-    graph = dealt.mapInArrow(lambda it: nearest_inside(it, width), "u long, v long, d double").groupBy("u", "v").agg(F.min("d").alias("d"))
-    graph = store(nearest(graph, "u", DEGREE), "graph")
-    for _ in range(ROUNDS):
-        limits = points.select("id", "vec").join(graph.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") == DEGREE, F.max("d")).alias("limit")), "id", "left")
-        around = graph.select(F.col("u").alias("centre"), F.col("v").alias("id")).unionByName(nearest(graph, "v", DEGREE).select(F.col("v").alias("centre"), F.col("u").alias("id"))).distinct()
-        dealt = around.join(limits.withColumn("limit", F.coalesce("limit", F.lit(float("inf")))), "id").select("centre", "id", "vec", "limit")
-        dealt = together(dealt, ["centre"])
-        offers = dealt.mapInArrow(lambda it: join_around(it, width), "u long, v long, d double")
-        graph = store(nearest(graph.unionByName(offers).groupBy("u", "v").agg(F.min("d").alias("d")), "u", DEGREE), "graph")
-    return graph
-
-
-def step(batches, width: int):
-    """One hop of each query: rows of kind 0 hold its state, those of kind 1 points it meets for the first time."""
+    centres = codebook(sampled(points, width), min(CENTROIDS, max(1, n // OCCUPANCY)))
+    cells = store(points.select("id", "vec").mapInArrow(lambda it: put(it, centres, width), "id long, cell long, turn int"), "graph-cells")
+    parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = cells.join(parts, "cell").select("id", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "turn")
+    home = store(points.select("id", "vec").join(blocks.where("turn = 0").drop("turn"), "id"), "graph-blocks")
+    dealt = points.select("id", F.xxhash64(F.lit(-1), F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(-(-n // BLOCK) or 1))).alias("block"), F.lit(-1).alias("turn"))
+    rows = blocks.unionByName(dealt).join(points.select("id", "vec"), "id")
+    first = store(together(rows, ["block"]).mapInArrow(lambda it: nearest_inside(it, width), EDGES), "graph-first")
+    graph = store(together(first.where("new"), ["u"]).mapInArrow(merge, EDGES), "graph")
+    beside = first.where("not new").withColumn("new", F.lit(True))
+    for k in range(ROUNDS):
+        graph = descend(graph, home, width, beside if k == 0 else None)
+        if graph.where("new").count() <= FEW * DEGREE * n:
+            break
+    return graph, home
+
+
+def descend(graph: DataFrame, home: DataFrame, width: int, beside: DataFrame | None) -> DataFrame:
+    """One round; ``beside`` has more edges for it."""
+    with dropping(graph.sparkSession):
+        there = graph.select(F.col("u").alias("id"), F.col("v").alias("of"), "new")
+        back = nearest(graph, "v", REVERSE).select(F.col("v").alias("id"), F.col("u").alias("of"), "new")
+        more = [] if beside is None else [beside.select(F.col(a).alias("id"), F.col(b).alias("of"), "new") for a, b in ("uv", "vu")]
+        lists = reduce(DataFrame.unionByName, [there, back, *more]).groupBy("id").agg(F.collect_list(F.struct(F.col("of").alias("id"), "new")).alias("near"))
+        lists = store(lists.join(home.select("id", "block"), "id").select("block", "near"), "graph-lists")
+        wanted = lists.select("block", F.explode("near.id").alias("id")).distinct()
+        limits = graph.groupBy(F.col("u").alias("id")).agg(F.when(F.count("*") == DEGREE, F.max("d")).alias("limit"))
+        known = home.select("id", "vec").join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")).cast("float")))
+        rows = wanted.join(known, "id").select("block", "id", "vec", "limit", F.lit(None).cast(lists.schema["near"].dataType).alias("near"))
+        none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+        dealt = together(rows.unionByName(lists.select("block", none("id"), none("vec"), none("limit"), "near")), ["block"])
+        offers = dealt.mapInArrow(lambda it: join_around(it, width), EDGES)
+        both = graph.withColumn("new", F.lit(False)).unionByName(offers)
+        return store(together(both, ["u"]).mapInArrow(merge, EDGES), "graph", result=True)
+
+
+def scored(batches, width: int):
+    """(query, node, d): how far each query is from the points that it meets in a block, the WIDTH nearest of them. Rows of a
+    block: vectors of its points (node), vectors of queries, and which meet."""
+    for g in grouped(batches, ["block"]):
+        has = {c: g.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("query", "node")}
+        part = lambda query, node: g.filter(pa.array((has["query"] == query) & (has["node"] == node)))  # noqa: B023, E731
+        points, queries, met = part(False, True), part(True, False), part(True, True)
+        sides = []
+        for t, c in ((queries, "query"), (points, "node")):
+            ids = t.column(c).to_numpy()
+            order = np.argsort(ids)
+            sides.append((as_matrix(t.column("vec"), width), order[np.searchsorted(ids[order], met.column(c).to_numpy())]))
+        (q, qi), (p, pi) = sides
+        d = np.concatenate([far(q[qi[at : at + 8192]], p[pi[at : at + 8192]]) for at in range(0, len(qi), 8192)]) if len(qi) else np.zeros(0)
+        u, v, d, _ = best(met.column("query").to_numpy(), met.column("node").to_numpy(), d, np.ones(len(d), bool), WIDTH)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], ["query", "node", "d"])
+
+
+def step(batches):
+    """One hop of each query: its state (found) and the points it met, the nearest first; those not looked up yet are the front."""
     for g in grouped(batches, ["query"]):
-        kind = g.column("kind").to_numpy()
-        state, met = g.filter(pa.array(kind == 0)).to_pylist()[0], g.filter(pa.array(kind == 1))
-        ids, d, done = np.array(state["ids"], np.int64), np.array(state["ds"], float), np.array(state["done"], bool)
-        if met.num_rows:
-            own = as_matrix(pa.array([state["vec"]], pa.binary()), width)
-            d = np.concatenate([d, far(own, as_matrix(met.column("vec"), width))])
-            ids = np.concatenate([ids, met.column("node").to_numpy()])
-            done = np.concatenate([done, np.zeros(met.num_rows, bool)])
-            order = np.lexsort((ids, d))[:WIDTH]
-            ids, d, done = ids[order], d[order], done[order]
+        state = g.column("ids").is_valid().to_numpy(zero_copy_only=False)
+        old, met = g.filter(pa.array(state)).to_pylist()[0], g.filter(pa.array(~state))
+        ids, d = np.array([*old["ids"], *met.column("node").to_pylist()], np.int64), np.array([*old["ds"], *met.column("d").to_pylist()], float)
+        done = np.array([*old["done"], *[False] * met.num_rows], bool)
+        order = np.lexsort((ids, d))[:WIDTH]
+        ids, d, done = ids[order], d[order], done[order]
         front = np.flatnonzero(~done)[:LOOKED_UP]
         done[front] = True
         one = lambda x, t: pa.array([x.tolist()], pa.list_(t))
-        yield pa.RecordBatch.from_arrays([pa.array([state["query"]], pa.int64()), pa.array([state["vec"]], pa.binary()), one(ids, pa.int64()), one(d, pa.float64()), one(done, pa.bool_()), one(ids[front], pa.int64())], ["query", "vec", "ids", "ds", "done", "front"])
+        yield pa.RecordBatch.from_arrays([g.column("query").slice(0, 1), one(ids, pa.int64()), one(d, pa.float64()), one(done, pa.bool_()), one(ids[front], pa.int64())], ["query", "ids", "ds", "done", "front"])
 
 
-STATE = "query long, vec binary, ids array<long>, ds array<double>, done array<boolean>, front array<long>"
+STATE = "query long, ids array<long>, ds array<double>, done array<boolean>, front array<long>"
 
 
-def search_graph(graph: DataFrame, points: DataFrame, queries: DataFrame, width: int) -> DataFrame:
+def search_graph(graph: DataFrame, home: DataFrame, queries: DataFrame, entries: list[int], width: int) -> DataFrame:
     """(query, ids, ds): the nearest points found of each point in ``queries`` (id), itself left out; nearest first."""
     both = graph.select("u", "v").unionByName(nearest(graph, "v", DEGREE).select(F.col("v").alias("u"), F.col("u").alias("v")))
     around = store(both.groupBy("u").agg(F.collect_set("v").alias("around")), "graph-around")
-    vectors = points.select(F.col("id").alias("node"), "vec")
-    state = points.join(queries, "id").select(F.col("id").alias("query"), "vec", *(F.array().cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("ds", "double"), ("done", "boolean"))), F.array("id").alias("front"))
-    state = store(state, "search")
-    seen = state.select("query", F.col("query").alias("node"))
+    asked = store(home.join(queries, "id").select(F.col("id").alias("query"), F.col("vec").alias("vec")), "search-queries")
+    state = asked.select("query", *(F.array().cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("ds", "double"), ("done", "boolean"))), F.array("query").alias("front"))
+    seen = asked.select("query", F.col("query").alias("node"))
+    first = asked.select("query", F.explode(F.array(*map(F.lit, entries)).cast("array<long>")).alias("node"))
     while True:
-        met = state.select("query", F.explode("front").alias("u")).join(around, "u").select("query", F.explode("around").alias("node")).distinct()
-        met = store(met.join(seen, ["query", "node"], "left_anti"), "search-met")
-        seen = seen.unionByName(met)
-        none = lambda c: F.lit(None).cast(state.schema[c].dataType).alias(c)
-        rows = state.select("query", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("node"), "vec", "ids", "ds", "done")
-        rows = rows.unionByName(met.join(vectors, "node").select("query", F.lit(1).alias("kind"), "node", "vec", none("ids"), none("ds"), none("done")))
-        rows = together(rows, ["query"], "kind")
-        state = store(rows.mapInArrow(lambda it: step(it, width), STATE), "search")
+        met = state.select("query", F.explode("front").alias("u")).join(around, "u").select("query", F.explode("around").alias("node"))
+        if first is not None:
+            met, first = met.unionByName(first), None
+        met = met.distinct().join(seen, ["query", "node"], "left_anti").join(home.select(F.col("id").alias("node"), "block"), "node")
+        met = store(met.select("block", "query", "node"), "search-met")
+        seen = seen.unionByName(met.select("query", "node"))
+        none = F.lit(None)
+        points = home.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("block", none.cast("long").alias("query"), F.col("id").alias("node"), "vec")
+        coming = met.select("block", "query").distinct().join(asked, "query").select("block", "query", none.cast("long").alias("node"), "vec")
+        rows = met.withColumn("vec", none.cast("binary")).unionByName(points).unionByName(coming)
+        found = together(rows, ["block"]).mapInArrow(lambda it: scored(it, width), "query long, node long, d double")
+        found = found.select("query", "node", "d", *(none.cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("ds", "double"), ("done", "boolean"))))
+        before = state.select("query", none.cast("long").alias("node"), none.cast("double").alias("d"), "ids", "ds", "done")
+        state = store(together(found.unionByName(before), ["query"]).mapInArrow(step, STATE), "search")
         if state.where(F.size("front") > 0).isEmpty():
             return state.select("query", "ids", "ds")
 
 
 def neighbours(df: DataFrame, queries, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): up to k nearest rows found of each row of (vec_id, embedding) for which the
-    condition ``queries`` holds, other than rows of its own id; ties go to the smaller id.
+    """(query_id, rank, vec_id, score): the k nearest rows found (all, if there are fewer) of each row of (vec_id, embedding) for
+    which the condition ``queries`` holds, other than rows of its own id; ties go to the smaller id. k is at most ENTRIES - 1,
+    so that the entry points alone are enough.
 
     Null, zero and non-finite vectors and rows without an id take no part. Equal rows count as one.
     """
+    if k >= ENTRIES:
+        raise ValueError("k must be less than the number of entry points")
+    with dropping(df.sparkSession):
+        return store(_neighbours(df, queries, k), "neighbours", result=True)
+
+
+def _neighbours(df: DataFrame, queries, k: int) -> DataFrame:
     rows, points, width = distinct_vectors(df.where("vec_id is not null"))
     rows = rows.where("digest is not null").select(F.col("rank").alias("vec_id"), "digest").distinct()
     ids = points.select("digest", "id")
     asked = store(rows.where(queries).join(ids, "digest").select("vec_id", "id"), "asked")
-    found = search_graph(build_graph(points, width), points, asked.select("id").distinct(), width)
+    graph, home = build_graph(points, width)
+    entries = [r[0] for r in points.orderBy("digest").select("id").limit(ENTRIES).collect()]
+    found = search_graph(graph, home, asked.select("id").distinct(), entries, width)
     found = found.select("query", F.explode(F.slice(F.arrays_zip("ids", "ds"), 1, k)).alias("x")).select("query", F.col("x.ids").alias("id"), F.col("x.ds").alias("score"))
     found = found.unionByName(asked.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score")).distinct())
     # of rows with equal vectors, the k + 1 with the least ids are enough; few of them stay in each part of the table
