@@ -67,11 +67,11 @@ def of_dataframe(df: DataFrame, columns=None, *, order_by: Sequence[str] | None
     return CellTable(placed.select("_pos", *cells), names, mixed)
 
 
-def _local(spark: SparkSession, values: list[list], names, json_mode: bool, native: bool, index=None) -> CellTable:
+def _local(spark: SparkSession, values: list[list], names, json_mode: bool, index=None) -> CellTable:
     def cell(v):
         if not json_mode:
             return str(v)
-        return canonical(checked(v) if native or isinstance(v, (Mapping, list)) else str(v))
+        return canonical(checked(v) if isinstance(v, (Mapping, list)) else str(v))
 
     rows = [(i, *map(cell, r)) for i, r in enumerate(values)]
     schema = ", ".join(["_pos long", *(f"_c{i} string" for i in range(len(names)))])
@@ -87,10 +87,10 @@ def as_cells(spark: SparkSession, data, columns=None, *, order_by=None) -> CellT
     if isinstance(data, DataFrame) or type(data).__module__.startswith("pyspark.sql") and hasattr(data, "sparkSession"):
         return of_dataframe(data, columns, order_by=order_by)
     if isinstance(data, (JSONInput, str, PathLike, Mapping)):
-        data = read_json(data)
-        fields = list(data.fields) if len(data) else list(columns or ())
-        names = field_names(fields, columns, len(fields))
-        return _local(spark, [[r[f] for f in fields] for r in data.records], names, True, True)
+        data = read_json(data, spark=spark)
+        if not len(data):
+            return _local(spark, [], field_names(list(columns or ()), columns, len(columns or ())), True)
+        return CellTable(data.cells(), field_names(data.fields, columns, len(data.fields)), True, rows=len(data))
     index = inferred = None
     if type(data).__module__.partition(".")[0] == "pandas":
         if not hasattr(data, "columns"):
@@ -108,7 +108,7 @@ def as_cells(spark: SparkSession, data, columns=None, *, order_by=None) -> CellT
         values = data.astype(object).tolist()
         inferred = None
         if not len(values):
-            return _local(spark, [], field_names(None, columns, data.shape[1]), False, False)
+            return _local(spark, [], field_names(None, columns, data.shape[1]), False)
     else:
         rows = list(data)
         if rows and isinstance(rows[0], Mapping):
@@ -122,4 +122,4 @@ def as_cells(spark: SparkSession, data, columns=None, *, order_by=None) -> CellT
             values = [list(r) for r in rows]
     width = len(inferred) if inferred is not None else len(values[0]) if values else len(columns or ())
     json_mode = any(isinstance(v, (Mapping, list)) for r in values for v in r)
-    return _local(spark, values, field_names(inferred, columns, width), json_mode, False, index)
+    return _local(spark, values, field_names(inferred, columns, width), json_mode, index)

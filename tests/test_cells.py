@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.text import canonical_cell, float_text, json_string, shared_prefix
 from rowloom.sources.cells import as_cells, of_dataframe
-from rowloom.sources.jsonio import JSONInput, read_json
+from rowloom.sources.jsonio import read_json
 
 
 def cells(table):
@@ -89,7 +89,7 @@ def test_dataframe(spark):
     assert one == '{"a":1e-07,"z":1.0}'
 
 
-def test_read_json(tmp_path):
+def test_read_json(spark, tmp_path):
     assert read_json('{"a":1}').records == ({"a": 1},) and len(read_json("[]")) == 0
     lines = tmp_path / "x.jsonl"
     lines.write_text('﻿{"a": 1}\n\n{"a": {"b": [1, "x y"]}}\r\n', encoding="utf-8")
@@ -105,17 +105,26 @@ def test_read_json(tmp_path):
         read_json('{"a":1}\n[1]', lines=True)
     with pytest.raises(TypeError):
         read_json([{"a": 1}], lines=True)
+    whole = tmp_path / "many.ndjson"
+    whole.write_text("\n".join(json.dumps({"z": i, "a": {"k": [i, None], "b": "é\u2028"}}, ensure_ascii=False) for i in range(3000)))
+    many = read_json(whole)
+    assert len(many) == 3000 and many.fields == ("z", "a") and many[-1] == {"z": 2999, "a": {"k": [2999, None], "b": "é\u2028"}} and [r["z"] for r in many[5:8]] == [5, 6, 7]
+    assert cells(as_cells(spark, whole))[7] == ("7", '{"b":"é\u2028","k":[7,null]}')
+    whole.write_text('{"a": 1}\n\n{"a": 1, "a": 2}\n{"a": NaN}')
+    with pytest.raises(ValueError, match="line 3.*again"):
+        read_json(whole)
+    assert read_json('[{"a":1.50,"b":[]},{"b":{},"a":1e2}]')[1] == {"b": {}, "a": 100.0}
 
 
 @pytest.mark.parametrize("bad", ['{"a":1,"a":2}', '{"x":{"a":1,"a":2}}', '{"a":NaN}', '{"a":Infinity}', '{"a":1e999}', "[1,2]", "[[1,2]]", '"text"', "null", '[{"a":1},{"b":1}]', '[{"a":1,"b":2},{"a":1}]'])
-def test_rejects(bad):
+def test_rejects(spark, bad):
     with pytest.raises(ValueError):
         read_json(bad)
 
 
-def test_rejected_values():
-    for bad in ([{"a": float("inf")}], [{1: 2}]):
+def test_rejected_values(spark):
+    for bad in ([{"a": float("inf")}], [{1: 2}], 5, [5]):
         with pytest.raises(ValueError):
-            JSONInput(bad)
+            read_json(bad)
     with pytest.raises(TypeError):
-        JSONInput([{"a": (1, 2)}])
+        read_json([{"a": (1, 2)}])
