@@ -107,6 +107,17 @@ def valid(p: Column, n: int) -> Column:
     return F.coalesce((F.size(p) == n) & good & (F.abs(total(p) - 1) <= 1e-6), F.lit(False))
 
 
+def shares(weights: Sequence[float]) -> tuple[float, ...]:
+    """Weights as parts of their sum."""
+    whole = math.fsum(weights)
+    return tuple(w / whole for w in weights)
+
+
+def raised(scores: Sequence[float]) -> tuple[float, ...]:
+    """The softmax of scores, as ``softmax`` gives it for columns."""
+    return shares([math.exp(s - max(scores)) for s in scores])
+
+
 def valid_response(p: Sequence[float], n: int) -> bool:
     return len(p) == n and all(math.isfinite(x) and x >= 0 for x in p) and abs(sum(p) - 1) <= 1e-6
 

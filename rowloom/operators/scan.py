@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.materialize import ONE_SORT, materialize, number
+from ..plans.materialize import materialize, number
 from ..sources.cells import as_cells
 from .decisions import DecisionSpec, decided, valid, valid_response
 from .layout import LayoutOptimizer, LayoutPlan
@@ -60,66 +61,102 @@ class ScanResult:
         return found | {"rows_per_second": found["rows"] / self.wall_seconds if self.wall_seconds else 0.0}
 
 
-def percentiles(df: DataFrame, column: str, ps: tuple[float, ...]) -> list[float]:
-    """Exact percentiles of a column, interpolated, by sorting it across tasks and looking up the ranks beside each; 0 of no rows."""
-    rows = number(df.where(F.col(column).isNotNull()).select(F.col(column).alias("x")), "r", ["x"])
-    n = rows.agg(F.max("r")).first()[0]
-    if n is None:
-        return [0.0] * len(ps)
-    at = {int(n * p) for p in ps} | {min(n, int(n * p) + 1) for p in ps}
-    found = {r["r"]: float(r["x"]) for r in rows.where(F.col("r").isin(sorted(at))).collect()}
-    low = [(found[int(n * p)], found[min(n, int(n * p) + 1)], n * p - int(n * p)) for p in ps]
-    return [a + (b - a) * part for a, b, part in low]
-
-
-def scan_metrics(traces: DataFrame, rows: int | None = None) -> DataFrame:
-    """One row of totals, percentiles and means of traces; percentiles interpolate, means leave nulls out.
-
-    Percentiles of few rows come from one aggregate, which holds their values; of many, from a sort.
-    """
-    n = traces.count() if rows is None else rows
-    names = {"client_request_seconds": "latency", "complete_offset_seconds": "batch_sojourn"}
-    if n <= ONE_SORT:
-        given = [F.coalesce(F.percentile(c, p), F.lit(0.0)).alias(f"{k}_p{round(100 * p)}_seconds") for c, k in names.items() for p in (0.5, 0.95)]
-    else:
-        given = [F.lit(x).alias(f"{k}_p{q}_seconds") for c, k in names.items() for q, x in zip((50, 95), percentiles(traces, c, (0.5, 0.95)), strict=True)]
+def percentiles(df: DataFrame, keys: list[str], column: str, ps: dict[str, float]) -> DataFrame:
+    """Exact percentiles of a column in each group of ``keys`` (none: of all rows), interpolated, nulls left out; (keys, rows,
+    and a column for each of ``ps``). All rows are sorted once across tasks, and the few ranks wanted are looked up, so no
+    task holds a group."""
+    safe = [f"__k{i}" for i in range(len(keys))]
+    told = df.where(F.col(column).isNotNull()).select(*(F.col(k).alias(s) for k, s in zip(keys, safe, strict=True)), F.col(column).cast("double").alias("__x"))
+    placed = number(told.withColumn("__one", F.lit(0)), "__r", [*safe, "__x"])
+    by = ["__one", *safe]
+    groups = placed.groupBy(*by).agg(F.min("__r").alias("__first"), F.count("*").alias("rows"))
+    exact = lambda p: F.col("__first") + (F.col("rows") - 1) * F.lit(float(p))
+    wanted = groups.select(*by, "rows", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), exact(p).alias("at")) for n, p in ps.items()))).alias("w"))
+    ends = wanted.select(*by, "rows", "w.*", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("__r"))
+    part = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("__r") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
+    weighed = ends.join(placed.select("__r", "__x"), "__r").withColumn("__w", part * F.col("__x"))
+    found = weighed.groupBy(*by).agg(F.max("rows").alias("rows"), *(F.sum(F.when(F.col("name") == n, F.col("__w"))).alias(n) for n in ps))
+    return found.select(*(F.col(s).alias(k) for k, s in zip(keys, safe, strict=True)), "rows", *ps)
+
+
+def scan_metrics(traces: DataFrame) -> DataFrame:
+    """One row of totals, percentiles and means of traces; percentiles interpolate, means leave nulls out."""
     mean = lambda c, n: (F.avg(c) * 0.001).alias(n)
     sums = traces.agg(
-        F.count(F.lit(1)).alias("rows"), *map(all_or_unknown, COUNTS), *given,
+        F.count(F.lit(1)).alias("rows"), *map(all_or_unknown, COUNTS),
         mean("queue_time_ms", "engine_queue_mean_seconds"), mean("engine_prefill_interval_ms", "engine_prefill_interval_mean_seconds"), mean("generation_time_ms", "engine_generation_mean_seconds"),
     )
+    for c, k in (("client_request_seconds", "latency"), ("complete_offset_seconds", "batch_sojourn")):
+        names = [f"{k}_p50_seconds", f"{k}_p95_seconds"]
+        given = percentiles(traces, [], c, dict(zip(names, (0.5, 0.95), strict=True))).select(*names)
+        sums = sums.join(given, how="left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
     return sums.withColumn("cached_fraction", F.when(F.col("prompt_tokens") > 0, F.col("cached_tokens") / F.col("prompt_tokens")))
 
 
-def _ask(batches, backend, spec: DecisionSpec, salt: str | None, started: float):
-    names = [x.split()[0] for x in TRACE.split(", ")]
-    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    types = [kinds[x.split()[1]] for x in TRACE.split(", ")]
-    try:
+def in_turn(items, do, width: int):
+    """(item, result or error) of ``do`` for each item, at most ``width`` at a time, in the order of items among those done
+    together. The first error stops the asking: what is under way is awaited and given, the rest isn't begun."""
+    with ThreadPoolExecutor(width) as pool:
+        waiting, items, failed = {}, enumerate(items), False
+        while True:
+            while not failed and len(waiting) < width and (following := next(items, None)) is not None:
+                n, item = following
+                waiting[pool.submit(do, item)] = n, item
+            if not waiting:
+                return
+            done, _ = wait(waiting, return_when=FIRST_COMPLETED)
+            for future in sorted(done, key=lambda f: waiting[f][0]):
+                _, item = waiting.pop(future)
+                error = future.exception()
+                failed |= error is not None
+                yield item, error if error is not None else future.result()
+
+
+def _ask(batches, backend, spec: DecisionSpec, salt: str | None, started: float, width: int):
+    """A row for each request that was made: its answer and trace, or what went wrong."""
+    names, kinds = zip(*(x.split() for x in TRACE.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[k] for k in kinds]
+    schema = pa.schema([("_pos", pa.int64()), ("_exec_pos", pa.int64()), ("probabilities", pa.list_(pa.float64())), *zip(names, types, strict=True), ("error", pa.string())])
+
+    def rows():
         for b in batches:
-            rows = []
-            for at, state in zip(b.column("_pos").to_pylist(), b.column("state").to_pylist(), strict=True):
-                begun = time.time()
-                try:
-                    r = backend.decide(state, spec, cache_salt=salt)
-                    if not valid_response(r.probabilities, len(spec.options)):
-                        raise ValueError("the answer is no distribution over the options")
-                except Exception as e:
-                    raise RuntimeError(f"no decision at input row position {at}: {e}") from e
-                done = time.time()
-                rows.append((list(r.probabilities), begun - started, begun - started, done - started, done - begun, r.prompt_tokens, r.cached_tokens, r.completion_tokens, r.created_cache_tokens, r.queue_time_ms, r.time_to_first_token_ms, r.generation_time_ms, r.request_id))
-            columns = list(zip(*rows, strict=True)) or [[]] * 13
-            yield pa.RecordBatch.from_arrays([b.column("_pos"), b.column("_exec_pos"), *(pa.array(c, t) for c, t in zip(columns, [pa.list_(pa.float64()), *types], strict=True))], ["_pos", "_exec_pos", "probabilities", *names])
+            for at, place, state in zip(*(b.column(c).to_pylist() for c in ("_pos", "_exec_pos", "state")), strict=True):
+                yield at, place, state, time.time()
+
+    def one(row):
+        *_, state, submitted = row
+        begun = time.time()
+        r = backend.decide(state, spec, cache_salt=salt)
+        done = time.time()
+        if not valid_response(r.probabilities, len(spec.options)):
+            raise ValueError("the answer is no distribution over the options")
+        return list(r.probabilities), submitted - started, begun - started, done - started, done - begun, r.prompt_tokens, r.cached_tokens, r.completion_tokens, r.created_cache_tokens, r.queue_time_ms, r.time_to_first_token_ms, r.generation_time_ms, r.request_id, None
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    try:
+        held = []
+        for (at, place, *_), found in in_turn(rows(), one, width):
+            held.append((at, place, *(found if isinstance(found, tuple) else [None] * (len(schema) - 3) + [str(found)])))
+            if len(held) == 1024:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
     finally:
         if hasattr(backend, "close"):
             backend.close()
 
 
 class DecisionEngine:
-    """Scans tables with a backend; ``concurrency`` tasks ask at a time, each one request after another.
+    """Scans tables with a backend that gets ``concurrency`` requests at a time.
 
-    Each task gets a run of neighbours in the layout's order, so the prefix of one request serves the next. Tasks that
-    are lost are run again by Spark: their requests are repeated, and ``cache_salt`` with the position names a request.
+    There are as many tasks as that, but no more than cores, and they share it. Each gets a run of neighbours in the
+    layout's order and asks in that order, so the prefix of one request serves the next; when an answer comes the next
+    request goes out. A row without an answer ends its task's asking, not the task, so Spark repeats nothing; the scan
+    then fails with the row's position. Tasks lost with an executor are run again: their requests are repeated, and
+    ``cache_salt`` with the position names a request.
     """
 
     def __init__(self, spark: SparkSession, backend, *, concurrency: int = 4):
@@ -163,9 +200,22 @@ class DecisionEngine:
             asked = asked.withColumn("probabilities", F.when(valid(F.col("probabilities"), len(spec.options)), F.col("probabilities")).otherwise(wrong))
         else:
             backend, salt = self.backend, cache_salt
-            dealt = states.repartitionByRange(self.concurrency, "_exec_pos").sortWithinPartitions("_exec_pos")
-            asked = dealt.mapInArrow(lambda it: _ask(it, backend, spec, salt, origin), f"_pos long, _exec_pos long, probabilities array<double>, {TRACE}")
+            tasks = min(self.concurrency, self.spark.sparkContext.defaultParallelism)
+            share, extra = divmod(self.concurrency, tasks)
+
+            def ask(batches):
+                from pyspark import TaskContext
+
+                return _ask(batches, backend, spec, salt, origin, share + (TaskContext.get().partitionId() < extra))
+
+            dealt = states.repartitionByRange(tasks, "_exec_pos").sortWithinPartitions("_exec_pos")
+            asked = dealt.mapInArrow(ask, f"_pos long, _exec_pos long, probabilities array<double>, {TRACE}, error string")
         frame = materialize(asked.withColumn("decision", decided(F.col("probabilities"), spec.options)), "scan")
+        if "error" in frame.columns:
+            wrong = frame.where("error is not null").agg(F.min(F.struct("_pos", "error")).alias("x")).first()["x"]
+            if wrong:
+                raise RuntimeError(f"no decision at input row position {wrong['_pos']}: {wrong['error']}")
+            frame = frame.drop("error")
         ended = time.perf_counter()
         return ScanResult(frame, spec, plan, ended - started, ended - prepared, prepared - started - plan.planning_seconds)
 

@@ -1,5 +1,6 @@
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from rowloom.operators.backends import ChoiceBackend, CompletionBackend, KeywordBackend
 from rowloom.operators.decisions import DecisionResponse, DecisionSpec, decided, softmax, valid
 from rowloom.operators.layout import LAYOUTS
-from rowloom.operators.scan import DecisionEngine
+from rowloom.operators.scan import DecisionEngine, in_turn
 
 
 class AmountBackend:
@@ -64,6 +65,40 @@ def test_failure_names_the_row(spark):
         DecisionEngine(spark, AmountBackend()).scan([{"amount": "1"}, {"amount": "ERROR"}, {"amount": "3"}], "?")
 
 
+def test_requests_in_flight():
+    """Never more than the width, refilled in order; an error lets what is under way end and begins nothing more."""
+    lock, now, most, begun = threading.Lock(), [0], [0], []
+
+    def do(x):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+            begun.append(x)
+        time.sleep(0.01 if x % 3 else 0.03)
+        with lock:
+            now[0] -= 1
+        if x == 20:
+            raise ValueError("twenty")
+        return x * x
+
+    found = list(in_turn(range(1000), do, 4))
+    assert most[0] == 4 and now[0] == 0 and sorted(begun) == list(range(len(begun))) and 21 <= len(begun) <= 24
+    assert sorted(x for x, _ in found) == list(range(len(begun))) and all(isinstance(r, ValueError) if x == 20 else r == x * x for x, r in found)
+    assert list(in_turn([], do, 2)) == [] and list(in_turn([1], do, 2)) == [(1, 1)]
+
+
+def test_a_failing_row_is_asked_once(spark, tmp_path):
+    class Counting(AmountBackend):
+        def decide(self, state, spec, *, cache_salt=None):
+            with open(tmp_path / "asked", "a") as f:
+                f.write(state + "\n")
+            return super().decide(state, spec, cache_salt=cache_salt)
+
+    with pytest.raises(RuntimeError, match="input row position 2: bad amount"):
+        DecisionEngine(spark, Counting(), concurrency=1).scan([{"amount": "1"}, {"amount": "2"}, {"amount": "ERROR"}, {"amount": "3"}], "?", method="original")
+    assert len((tmp_path / "asked").read_text().splitlines()) == 3
+
+
 def test_compare(spark):
     engine = DecisionEngine(spark, AmountBackend())
     found = engine.compare([{"amount": 1}, {"amount": 3}, {"amount": 5}], "?", methods=("original", "greedy"), truth=[False, True, True])
@@ -207,5 +242,9 @@ def test_percentiles_by_sorting(spark, monkeypatch):
     df = spark.createDataFrame([(float(x),) for x in xs] + [(None,)], "x double")
     for limit in (10, 10_000):
         monkeypatch.setattr(materialize, "ONE_SORT", limit)
-        assert scan.percentiles(df, "x", (0.0, 0.5, 0.95, 1.0)) == pytest.approx(np.percentile(xs, [0, 50, 95, 100]).tolist())
-    assert scan.percentiles(df.where("x > 5"), "x", (0.5,)) == [0.0]
+        found = scan.percentiles(df, [], "x", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}).collect()
+        assert [tuple(r) for r in found] == [(300, *map(pytest.approx, np.percentile(xs, [0, 50, 95, 100])))]
+        by = {r["k"]: r for r in scan.percentiles(df.withColumn("k", F.when(F.col("x") < 0.3, "low")), ["k"], "x", {"m": 0.5, "p": 0.95}).collect()}
+        for k, part in (("low", xs[xs < 0.3]), (None, xs[xs >= 0.3])):
+            assert (by[k]["rows"], by[k]["m"], by[k]["p"]) == (len(part), pytest.approx(np.median(part)), pytest.approx(np.percentile(part, 95)))
+    assert scan.percentiles(df.where("x > 5"), [], "x", {"m": 0.5}).count() == 0
