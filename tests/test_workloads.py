@@ -79,6 +79,20 @@ def test_unique_identifiers(spark):
     assert len(set(out.values())) == 6 and [out[i] for i in (1, 2, 4, 5, 6)] == ["a", "row-000000002", "row-000000004", "row-000000003", "b"]
 
 
+def test_unique_identifiers_that_read_like_made_ones(spark):
+    def names(rows):
+        out = {r["p"]: r["name"] for r in unique_identifiers(spark.createDataFrame(rows, "p long, c string"), "c", "p", "name").collect()}
+        assert len(set(out.values())) == len(rows)
+        return out
+
+    assert names([(1, "row-000000002"), (2, ""), (3, "row-000000005")])[2] == "row-000000006"
+    chain = names([(1, ""), (2, "row-000000001"), (3, "row-000000007"), (4, "row-000000011"), (5, "row-0000000001")])
+    assert chain[1] == "row-000000013" and chain[5] == "row-0000000001"
+    rng = random.Random(3)
+    for _ in range(5):
+        names([(i, rng.choice([None, " ", "x", f"row-{rng.randrange(60):09d}"])) for i in range(1, 30)])
+
+
 def groups(spark, sizes):
     rows = [(f"g{g}", g * 100 + i) for g, n in enumerate(sizes) for i in range(n)]
     return spark.createDataFrame(rows, "group_id string, row_pos long")
@@ -141,7 +155,8 @@ def test_synthetic_tables(spark):
     found = {r["column"]: r for r in reports.describe(df, [c for c in df.columns if c != "_truth"], lambda c: F.size(F.split(c, " "))).collect()}
     assert [found[c]["ndv"] for c in ("company_policy", "profile_0", "profile_3", "record_id")] == [1, 4, 32, 64]
     assert all(r["least"] == r["most"] for r in found.values()) and not found["record_id"]["reusable"]
-    assert sized("a b", 30, count).startswith("a b ") and count(sized("a b", 30, count)) == 30
+    assert sized("a b", 30, count).startswith("a b ") and count(sized("a b", 30, count)) == 30 and sized("a b", 2, count) == "a b"
+    assert len(sized("abc", 30, len)) == 30 and correlated(spark, 64, 4, 3, 40, 5, count).collect() != correlated(spark, 64, 4, 3, 40, 6, count).collect()
     for bad in (lambda: correlated(spark, 65, 4, 3, 40, 5, count), lambda: correlated(spark, 64, 3, 3, 40, 5, count), lambda: correlated(spark, 64, 4, 1, 40, 5, count), lambda: shared(spark, 8, 0.5, 1, count), lambda: sized("a b", 1, count)):
         with pytest.raises(ValueError):
             bad()
