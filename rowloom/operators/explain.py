@@ -5,11 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import shared_prefix
-from ..plans.materialize import materialize, number
 from ..sources.cells import CellTable
 from .layout import LayoutOptimizer, LayoutPlan
 
@@ -45,20 +43,15 @@ def column_ndv(table: CellTable) -> tuple[int, ...]:
 
 
 def prefix_group_curve(table: CellTable, order) -> DataFrame:
-    """(k, groups): distinct combinations of the first k fields in ``order``.
-
-    Distinct rows are sorted once; a combination of k begins wherever neighbours first differ in one of the first k.
-    """
+    """(k, groups): distinct combinations of the first k fields in ``order``, of all k by one grouping of the table."""
     names = [f"_c{c}" for c in order]
-    rows = materialize(table.frame.select(*names).distinct(), "distinct")
-    rows = materialize(number(rows, "_r", names), "curve")
-    before = rows.select((F.col("_r") + 1).alias("_r"), *(F.col(c).alias(f"b{c}") for c in names))
-    first = F.lit(len(names))
-    for k in range(len(names), 0, -1):
-        first = F.when(F.col(f"b{names[k - 1]}").isNull() | (F.col(f"b{names[k - 1]}") != F.col(names[k - 1])), k).otherwise(first)
-    new = rows.join(before, "_r", "left").groupBy(first.alias("k")).agg(F.count("*").alias("n"))
-    every = table.frame.sparkSession.range(1, len(names) + 1).select(F.col("id").cast("int").alias("k")).join(new, "k", "left")
-    return every.select("k", F.coalesce(F.sum("n").over(W.orderBy("k")), F.lit(0)).alias("groups"))
+    every = table.frame.sparkSession.range(1, len(names) + 1).select(F.col("id").cast("int").alias("k"))
+    if not names:
+        return every.select("k", F.lit(0).cast("long").alias("groups"))
+    groups = table.frame.rollup(*names).agg(F.grouping_id().alias("__g"))
+    # the fields that a combination leaves out are ones in its grouping, at the end
+    counted = groups.groupBy((len(names) - F.bit_count("__g")).cast("int").alias("k")).agg(F.count("*").alias("groups"))
+    return every.join(counted, "k", "left").select("k", F.coalesce("groups", F.lit(0)).alias("groups"))
 
 
 def prefix_group_counts(table: CellTable, order) -> list[int]:
@@ -86,6 +79,8 @@ def report(plan: LayoutPlan) -> dict:
         "adjacent_prefix_fraction": sums[1] / sums[0] if sums[0] else 0.0,
         "planning_seconds": plan.planning_seconds,
         "plan_rows": plan.plan_rows,
+        "encoded_bytes": plan.encoded_bytes,
+        "workspace_bytes": plan.workspace_bytes,
     }
 
 

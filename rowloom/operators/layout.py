@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +20,16 @@ from ..plans.materialize import materialize, number
 from ..sources.cells import CellTable, as_cells
 
 LAYOUTS = ("original", "lexicographic", "random", "random_columns", "cardinality", "greedy")
-#: Tables of so many cells at most are planned on the driver, larger ones by Spark; the orders are the same.
+#: Tables of so many cells at most are planned on the driver, larger ones by Spark; the orders are the same. The driver gets
+#: eight bytes for each cell, however long its text.
 DRIVER_CELLS = 2_000_000
-#: Rows up to which a random order comes from Python's generator; beyond, from a hash of seed and position.
-RANDOM_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class LayoutPlan:
-    """Order of fields, and all rows with their place: ``placed`` has ``_pos``, ``_exec_pos`` and the cells."""
+    """Order of fields, and all rows with their place: ``placed`` has ``_pos``, ``_exec_pos`` and the cells.
+
+    ``encoded_bytes`` and ``workspace_bytes``: codes of cells, and numbers of groups, that planning held on the driver."""
 
     method: str
     column_order: tuple[int, ...]
@@ -38,6 +40,8 @@ class LayoutPlan:
     plan_rows: int
     planning_seconds: float
     group_counts: tuple[int, ...] | None = field(default=None, compare=False)
+    encoded_bytes: int = 0
+    workspace_bytes: int = 0
 
     @property
     def order(self) -> DataFrame:
@@ -83,13 +87,35 @@ def serialize(table: CellTable, order: Sequence[int]):
 
 
 def _driver_codes(rows: DataFrame, cells: list[str]) -> np.ndarray:
-    """Cells as numbers, equal where texts are."""
+    """Cells as numbers from 0, equal where texts are (their 64-bit hashes, of which DRIVER_CELLS at most are compared)."""
     import pandas as pd
 
-    table = rows.select(*cells).toPandas()
+    table = rows.select(*(F.xxhash64(c).alias(c) for c in cells)).toPandas()
     return np.column_stack([pd.factorize(table[c])[0] for c in cells]).astype(np.int64) if len(cells) else np.zeros((len(table), 0), np.int64)
 
 
+def dense_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with each of ``columns`` as the rank of its value among those of the column, from 0: numbers for texts in the
+    order of texts, and numbers without gaps for sparse or negative ones. Nulls have none."""
+    for c in columns:
+        col = F.col(f"`{c}`")
+        ranked = materialize(number(df.where(col.isNotNull()).select(col.alias("__v")).distinct(), "__code", ["__v"]), "codes")
+        df = df.join(ranked, col == F.col("__v"), "left").withColumn(c, F.col("__code")).drop("__v", "__code")
+    return df
+
+
+def code_bytes(values: int) -> int:
+    """Bytes of the smallest unsigned number that tells so many values apart."""
+    return next(k for k in (1, 2, 4, 8) if values <= 1 << (8 * k))
+
+
+def encode_cells(table: CellTable) -> tuple[DataFrame, int]:
+    """(_pos and the code of each cell, bytes of all codes at the width that the column with most values needs)."""
+    coded = materialize(dense_codes(table.frame.select("_pos", *table.cells), table.cells), "encoded")
+    most = coded.agg(*(F.coalesce(F.max(c) + 1, F.lit(0)).alias(c) for c in table.cells)).first() if table.cells else ()
+    return coded, table.count() * len(table.columns) * code_bytes(max(most, default=0))
+
+
 def _pairs(groups: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, int]:
     import pandas as pd
 
@@ -146,7 +172,8 @@ def checked_seed_sample(sample_size):
 
 
 class LayoutOptimizer:
-    """Plans one layout. ``sample_size`` rows choose the fields of ``greedy`` and ``cardinality``; all rows are sorted."""
+    """Plans one layout. ``sample_size`` rows, whose positions the driver draws, choose the fields of ``greedy`` and
+    ``cardinality``; all rows are sorted. ``random`` sorts by a hash of seed and position at every size."""
 
     def __init__(self, spark: SparkSession, method: str = "greedy", *, seed: int = 0, sample_size: int | None = None):
         if method not in LAYOUTS:
@@ -160,17 +187,12 @@ class LayoutOptimizer:
     def plan_cells(self, table: CellTable) -> LayoutPlan:
         started = time.perf_counter()
         n, m = table.count(), len(table.columns)
-        order, planned, counts = list(range(m)), n, None
+        order, planned, counts, held = list(range(m)), n, None, (0, 0)
         rng = random.Random(self.seed)
         frame, cells = table.frame, table.cells
         if self.method == "random":
             rng.shuffle(order)
-            if n <= RANDOM_ROWS:
-                rows = list(range(n))
-                rng.shuffle(rows)
-                placed = frame.join(self.spark.createDataFrame([(int(p), i) for i, p in enumerate(rows)], "_pos long, _exec_pos long"), "_pos")
-            else:
-                placed = number(frame.withColumn("_h", F.xxhash64(F.lit(self.seed), "_pos")), "_exec_pos", ["_h", "_pos"], n).drop("_h")
+            placed = number(frame.withColumn("_h", F.md5(F.concat_ws(":", F.lit(self.seed), "_pos").cast("binary"))), "_exec_pos", ["_h", "_pos"], n).drop("_h")
             return LayoutPlan("random", tuple(order), table.columns, placed, table, n, n, time.perf_counter() - started)
         if self.method == "original" or not n or not m:
             placed = frame.withColumn("_exec_pos", F.col("_pos"))
@@ -178,18 +200,22 @@ class LayoutOptimizer:
         chosen = frame
         if self.method in ("greedy", "cardinality") and self.sample_size and self.sample_size < n:
             planned = self.sample_size
-            some = self.spark.createDataFrame([(i,) for i in rng.sample(range(n), planned)], "_pos long")
+            some = self.spark.createDataFrame(pa.table({"_pos": pa.array(rng.sample(range(n), planned), pa.int64())}))
             chosen = frame.join(some, "_pos", "left_semi")
         if self.method == "greedy":
-            small = planned * m <= DRIVER_CELLS
-            order, counts = greedy_on_driver(_driver_codes(chosen, cells)) if small else greedy_in_spark(chosen, cells)
+            if planned * m <= DRIVER_CELLS:
+                codes = _driver_codes(chosen, cells)
+                held = codes.nbytes, codes.nbytes // m
+                order, counts = greedy_on_driver(codes)
+            else:
+                order, counts = greedy_in_spark(chosen, cells)
         elif self.method == "cardinality":
             ndv = chosen.agg(*(F.count_distinct(c).alias(c) for c in cells)).first()
             order.sort(key=lambda c: ndv[c])
         elif self.method == "random_columns":
             rng.shuffle(order)
         placed = number(frame, "_exec_pos", [*(cells[c] for c in order), "_pos"], n)
-        return LayoutPlan(self.method, tuple(order), table.columns, placed, table, n, planned, time.perf_counter() - started, tuple(counts) if counts and planned == n else None)
+        return LayoutPlan(self.method, tuple(order), table.columns, placed, table, n, planned, time.perf_counter() - started, tuple(counts) if counts and planned == n else None, *held)
 
     def explain(self, data, *, columns=None, methods=None, order_by=None):
         from .explain import explain

@@ -6,10 +6,15 @@ trace; a run is a row with its keys and its metrics.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import json_string
+from .scan import percentiles
+
 #: Bins of prompt lengths: above the first, up to the second.
 BINS = ((0, 512, "≤512"), (512, 2048, "513–2K"), (2048, 4096, "2–4K"), (4096, 8192, "4–8K"), (8192, float("inf"), ">8K"))
 PAIR = ("batch_id", "batch_size", "batch_index", "repeat")
@@ -74,8 +79,12 @@ def latency_bins(requests: DataFrame) -> DataFrame:
     label = F.lit(None).cast("string")
     for low, high, name in BINS:
         label = F.when((F.col("local_prompt_tokens") > low) & (F.col("local_prompt_tokens") <= high), name).otherwise(label)
-    seconds = lambda c, n: (F.median(F.col(c) / 1000)).alias(n)
-    return requests.withColumn("label", label).where("label is not null").groupBy("label").agg(F.median("local_prompt_tokens").cast("double").alias("tokens"), F.median("client_request_seconds").alias("client_seconds"), seconds("engine_prefill_interval_ms", "prefill_seconds"), seconds("queue_time_ms", "queue_seconds"), F.count("*").alias("samples"))
+    binned = requests.withColumn("label", label).where("label is not null")
+    values = {"tokens": F.col("local_prompt_tokens"), "client_seconds": F.col("client_request_seconds"), "prefill_seconds": F.col("engine_prefill_interval_ms") / 1000, "queue_seconds": F.col("queue_time_ms") / 1000}
+    long = binned.select("label", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("x")) for n, v in values.items()))).alias("v")).select("label", "v.*")
+    medians = percentiles(long, ["label", "name"], "x", {"median": 0.5})
+    wide = medians.groupBy("label").agg(*(F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in values))
+    return wide.join(binned.groupBy("label").agg(F.count("*").alias("samples")), "label")
 
 
 def cache_causality(enabled: DataFrame, disabled: DataFrame) -> DataFrame:
@@ -102,7 +111,8 @@ def phase_profile(requests: DataFrame) -> DataFrame:
     rest = F.when(~whole, fault("a request lacks an interval")).when(other < -1e-6, fault("a client's time is less than the server's")).otherwise(F.greatest(other, F.lit(0.0)))
     kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("phase"), v.cast("double").alias("ms")) for n, v in zip(PHASES, (client, queue, first, decode, rest), strict=True))))
     rows = requests.select("method", kinds.alias("x")).select("method", "x.phase", "x.ms")
-    return rows.groupBy("method", "phase").agg(F.count("*").alias("requests"), F.avg("ms").alias("mean_ms"), F.median("ms").alias("median_ms"), F.percentile("ms", 0.95).alias("p95_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"))
+    ranks = percentiles(rows, ["method", "phase"], "ms", {"median_ms": 0.5, "p95_ms": 0.95}).drop("rows")
+    return rows.groupBy("method", "phase").agg(F.count("*").alias("requests"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms")).join(ranks, ["method", "phase"])
 
 
 def phase_comparison(profile: DataFrame, baseline: str = "original", candidate: str = "greedy") -> DataFrame:
@@ -152,8 +162,9 @@ def measured(result_frame: DataFrame, labelled: DataFrame) -> DataFrame:
 HASHED = 65_536
 
 
-def table_hash(df: DataFrame, text: str, order_by: str) -> DataFrame:
-    """SHA-256 of rows of text in order, as a tree: of the digests of runs of HASHED rows, each of its rows' digests."""
+def tree_digest(df: DataFrame, text: str, order_by: str) -> DataFrame:
+    """(sha256): a digest of rows of text in order, as a tree: of the digests of runs of HASHED rows, each of its rows' digests.
+    For tables of any size; not the digest of the joined text, which only one task can make (``joined_digest``)."""
     from ..plans.materialize import number
 
     placed = number(df.select(order_by, F.sha2(F.col(text), 256).alias("d")), "at", [order_by])
@@ -162,6 +173,27 @@ def table_hash(df: DataFrame, text: str, order_by: str) -> DataFrame:
     return runs.agg(joined("run", "d").alias("sha256"))
 
 
+def joined_digest(df: DataFrame, keys: list[str], text: str, order_by: str, separator: str = "\n") -> DataFrame:
+    """(keys, sha256): the digest of each group's texts in order, joined by ``separator``. A group is text for one task."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order_by).alias("o"), F.col(text).alias("t")))), lambda x: x["t"])
+    return df.groupBy(*keys).agg(F.sha2(F.array_join(texts, separator).cast("binary"), 256).alias("sha256"))
+
+
+def batch_table(rows: DataFrame, batch: str = "batch", row_id: str = "row_id", group: str = "group_id", place: str = "place") -> DataFrame:
+    """(batch, batch_id, rows, group_count) of ready batches: the id is the first 16 digits of the digest of the row ids in order."""
+    ids = joined_digest(rows, [batch], row_id, place).select(batch, F.substring("sha256", 1, 16).alias("batch_id"))
+    return ids.join(rows.groupBy(batch).agg(F.count("*").alias("rows"), F.count_distinct(group).alias("group_count")), batch)
+
+
+def records_digest(df: DataFrame, columns: list[str], order_by: str) -> DataFrame:
+    """(sha256): the digest of a table of texts as one JSON array of records, as a dataset is known by; for tables that are
+    one task's text. Slashes are escaped, as pandas writes them."""
+    quoted = lambda c: F.replace(json_string(c), F.lit("/"), F.lit("\\/"))
+    parts = [x for i, c in enumerate(columns) for x in (F.lit(("," if i else "{") + json.dumps(c) + ":"), quoted(F.col(f"`{c}`")))]
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("o", "t"))), lambda x: x["t"])
+    return df.select(F.col(order_by).alias("o"), F.concat(*parts, F.lit("}")).alias("t")).agg(F.sha2(F.concat(F.lit("["), F.array_join(whole, ","), F.lit("]")).cast("binary"), 256).alias("sha256"))
+
+
 def describe(df: DataFrame, columns: list[str], tokens) -> DataFrame:
     """(column, ndv, least, most, tokens, reusable): token counts of fields; a field is reusable if it has fewer values than rows."""
     cells = df.select(F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))))).alias("column", "value"))

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 import random
@@ -8,7 +9,7 @@ import pytest
 
 from rowloom.operators import layout
 from rowloom.operators.explain import prefix_group_counts
-from rowloom.operators.layout import LAYOUTS, LayoutOptimizer, plan_by_group
+from rowloom.operators.layout import LAYOUTS, LayoutOptimizer, code_bytes, dense_codes, encode_cells, plan_by_group
 from rowloom.plans import materialize
 from rowloom.sources.cells import as_cells
 
@@ -57,14 +58,18 @@ def test_baselines(spark):
     assert places(LayoutOptimizer(spark, "original").plan(rows)) == [0, 1, 2, 3]
 
 
-def test_random_follows_the_seed(spark):
+def test_random_follows_the_seed(spark, monkeypatch):
     rows = [[str(i), str(i % 3), "x"] for i in range(50)]
     rng = random.Random(11)
-    columns, order = list(range(3)), list(range(50))
+    columns = list(range(3))
     rng.shuffle(columns)
-    rng.shuffle(order)
+    order = sorted(range(50), key=lambda i: hashlib.md5(f"11:{i}".encode()).hexdigest())
     plan = LayoutOptimizer(spark, "random", seed=11).plan(rows)
     assert list(plan.column_order) == columns and places(plan) == order
+    assert places(LayoutOptimizer(spark, "random", seed=12).plan(rows)) != order
+    monkeypatch.setattr(materialize, "ONE_SORT", 10)  # large tables are numbered in parts: the order is the same
+    assert places(LayoutOptimizer(spark, "random", seed=11).plan(rows)) == order
+    monkeypatch.undo()
     rng = random.Random(11)
     columns = list(range(3))
     rng.shuffle(columns)
@@ -148,3 +153,22 @@ def test_plans_of_groups_differ(spark):
     df = spark.createDataFrame(rows, "g int, i int, a string, b string")
     out = plan_by_group(spark, df, "g", ["i"], ["a", "b"]).orderBy("g", "_exec_pos").collect()
     assert out[0]["state"].startswith('{"b":"0"') and out[8]["state"].startswith('{"a":"0"') and len(out) == 16
+
+
+def test_codes(spark):
+    """Ranks of texts among those of their column; sparse and negative numbers without gaps; bytes at the width the widest needs."""
+    df = spark.createDataFrame([(0, -5, "b"), (1, 900, "a"), (2, -5, None), (3, 0, "ab"), (4, None, "b")], "p int, n long, t string")
+    assert [tuple(r) for r in dense_codes(df, ["n", "t"]).orderBy("p").select("p", "n", "t").collect()] == [(0, 0, 2), (1, 2, 0), (2, 0, None), (3, 1, 1), (4, None, 2)]
+    rows = [[str(i), "x", str(i % 3)] for i in range(300)]
+    coded, size = encode_cells(as_cells(spark, rows))
+    found = [tuple(r) for r in coded.orderBy("_pos").select("_c0", "_c1", "_c2").collect()]
+    names = sorted({r[0] for r in rows})
+    assert size == 300 * 3 * 2 and found == [(names.index(r[0]), 0, int(r[2])) for r in rows]
+    assert [code_bytes(n) for n in (0, 256, 257, 65536, 65537, 1 << 33)] == [1, 1, 2, 2, 4, 8]
+    plan = LayoutOptimizer(spark).plan(rows)
+    assert plan.encoded_bytes == 300 * 3 * 8 and plan.workspace_bytes == 300 * 8
+
+
+def test_prefix_groups_of_no_rows_and_no_columns(spark):
+    assert prefix_group_counts(as_cells(spark, [], columns=["a", "b"]), [0, 1]) == [0, 0]
+    assert prefix_group_counts(as_cells(spark, [["x", "y"], ["x", "z"], ["x", "z"]]), [1, 0]) == [2, 2] and prefix_group_counts(as_cells(spark, [[], []]), []) == []

@@ -1,5 +1,6 @@
 import hashlib
 
+import pandas as pd
 import pytest
 
 from rowloom.operators import reports
@@ -93,7 +94,12 @@ def test_gate_and_hash(spark):
     reports.require_metrics(spark.createDataFrame([(0, None, 2.0)], good.schema), "enabled", allow_missing=True)
     df = spark.createDataFrame([(2, "b"), (1, "a")], "i int, t string")
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    assert reports.table_hash(df, "t", "i").first()[0] == digest(digest("\n".join(map(digest, "ab"))))
+    assert reports.tree_digest(df, "t", "i").first()[0] == digest(digest("\n".join(map(digest, "ab"))))
+    frame = pd.DataFrame({"t": ["a/é", 'q"\n'], "u": ["1", "x"]})
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(frame.itertuples(index=False))], "i int, t string, u string")
+    assert reports.records_digest(df, ["t", "u"], "i").first()[0] == digest(frame.to_json(orient="records", force_ascii=False))
+    rows = spark.createDataFrame([(0, 1, "b", "g"), (0, 0, "a", "g"), (1, 0, "c", "g"), (1, 1, "d", "h")], "batch int, place int, row_id string, group_id string")
+    assert sorted(map(tuple, reports.batch_table(rows).collect())) == [(0, digest("a\nb")[:16], 2, 1), (1, digest("c\nd")[:16], 2, 2)]
 
 
 def test_summary_of_runs(spark):
