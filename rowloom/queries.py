@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +15,16 @@ from .operators.decisions import DecisionSpec, decided, normalised, softmax, val
 from .operators.explain import column_ndv, neighbour_bytes, prefix_group_curve
 from .operators.layout import LayoutOptimizer, plan_by_group
 from .operators.scan import DecisionEngine, scan_metrics
-from .plans.materialize import number
+from .plans.materialize import number, shared_folder
 from .sources.cells import of_dataframe
-from .sources.workloads import coverage_batches, expand_history, interleaved_batches, prompt_filter, refunds, unique_identifiers
+from .sources.jsonio import parse_texts, read_json_file
+from .sources.workloads import CHOICES as CONTRACT_CHOICES
+from .sources.workloads import annotated, correlated, coverage_batches, expand_history, interleaved_batches, load_contract_nli, load_mind, prompt_filter, refunds, shared, unique_identifiers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 ORDERS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
-QUESTION = "Is the text long?"
+QUESTION = "Is the text in a Romance language?"
 KEYWORDS = [["the", "and"], ["de", "la"]]
 CHOICES = ("English", "Spanish", "French")
 #: Plans of 20 columns at 0.75 s for 20,000 rows are the published figure; this is the table for it.
@@ -88,16 +93,37 @@ def layout_greedy(spark, sf_dir):
     return planned(spark, sf_dir, "greedy")
 
 
-@query()
+@query(f"SELECT _pos, row_number() OVER (ORDER BY md5('0:' || _pos), _pos) - 1 AS _exec_pos FROM ({_POS})")
 def layout_random(spark, sf_dir):
+    """Rows by a hash of seed 0 and position."""
     return planned(spark, sf_dir, "random")
 
 
-@query()
+def _shuffled(n: int, seed: int = 0) -> list[int]:
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    return order
+
+
+@query(f"SELECT _pos, row_number() OVER (ORDER BY {', '.join('abc'[c] for c in _shuffled(3))}, _pos) - 1 AS _exec_pos FROM ({_POS})")
 def layout_random_columns(spark, sf_dir):
+    """Rows sorted by fields in an order that Python's generator shuffles from seed 0."""
     return planned(spark, sf_dir, "random_columns")
 
 
+def greedy_sql(rows: str, cells: list[str], group: str = "1") -> str:
+    """CTEs for DuckDB: ``t`` is the query ``rows``, ``g`` has (grp, ord, curve): the greedy order of the columns ``cells`` and the
+    groups after each, for each value of ``group``. Every set of columns is counted; sets are numbered by their bits."""
+    sets = range(1, 1 << len(cells))
+    counts = ", ".join(f"count(DISTINCT ({', '.join(c for i, c in enumerate(cells) if m >> i & 1)},))" if m.bit_count() > 1 else f"count(DISTINCT {cells[m.bit_length() - 1]})" for m in sets).replace(",))", "))")
+    return f"""RECURSIVE t AS ({rows}),
+cnt AS (SELECT {group} AS grp, unnest([{", ".join(map(str, sets))}]) AS mask, unnest([{counts}]) AS n FROM t GROUP BY {group}),
+steps(grp, mask, ord, curve) AS (SELECT DISTINCT grp, 0, CAST([] AS INT[]), CAST([] AS BIGINT[]) FROM cnt UNION ALL
+  SELECT grp, mask | (1 << b), list_append(ord, b), list_append(curve, n) FROM (SELECT s.grp, s.mask, ord, curve, arg_min(CAST(x.b AS INT), cnt.n * {len(cells)} + x.b) AS b, min(cnt.n) AS n
+    FROM steps s, range({len(cells)}) x(b), cnt WHERE (s.mask >> x.b) & 1 = 0 AND cnt.grp = s.grp AND cnt.mask = (s.mask | (1 << x.b)) GROUP BY s.grp, s.mask, ord, curve)),
+g AS (SELECT grp, ord, curve FROM steps WHERE len(ord) = {len(cells)})"""
+
+
 @query(f"WITH {_GREEDY} SELECT * FROM (SELECT 1 AS step, x - 1 AS field, n1 AS groups FROM g UNION ALL SELECT 2, y - 1, n2 FROM g UNION ALL SELECT 3, z - 1, n3 FROM g)")
 def greedy_column_order(spark, sf_dir):
     from .operators.layout import greedy_in_spark
@@ -204,16 +230,16 @@ def _times(word: str) -> str:
     return f"(length(state) - length(replace(state, '{word}', ''))) / {len(word)}.0"
 
 
-_DECIDED = f"""WITH s AS (SELECT doc_id, '{{"doc_id":"' || doc_id || '","source":"' || source || '"}}' AS state, text FROM documents),
-k AS (SELECT doc_id, {_times("1")} AS a, {_times("2")} AS b FROM s),
+_DECIDED = f"""WITH s AS (SELECT doc_id, '{{"doc_id":"' || doc_id || '","source":"' || source || '","text":' || to_json(text) || '}}' AS state FROM documents),
+k AS (SELECT doc_id, {" + ".join(map(_times, KEYWORDS[0]))} AS a, {" + ".join(map(_times, KEYWORDS[1]))} AS b FROM s),
 p AS (SELECT doc_id, exp(a - greatest(a, b)) AS x, exp(b - greatest(a, b)) AS y FROM k)"""
 
 
 @query(f"{_DECIDED} SELECT doc_id, CASE WHEN y > x THEN 'True' ELSE 'False' END AS decision, round(y / (x + y), 9) AS p_true FROM p")
 def decide_offline(spark, sf_dir):
-    """A whole scan with a backend of keywords: are there more twos than ones in the record?"""
-    df = read(spark, sf_dir, "documents").select("doc_id", "source")
-    result = DecisionEngine(spark, KeywordBackend([["1"], ["2"]])).scan(df, "More twos than ones?", order_by=["doc_id"])
+    """A whole scan of whole texts with a backend of keywords: does the record use Romance articles more than English words?"""
+    df = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    result = DecisionEngine(spark, KeywordBackend(KEYWORDS)).scan(df, QUESTION, order_by=["doc_id"])
     keys = result.layout.table.frame.select("_pos", F.col("_c0").cast("long").alias("doc_id"))
     return result.frame.join(keys, "_pos").select("doc_id", "decision", F.round(F.col("probabilities")[1], 9).alias("p_true"))
 
@@ -375,11 +401,14 @@ def history_expand(spark, sf_dir):
     return expand_history(seen, parts, ["event_id"], "ids", "item", 2).select("event_id", F.array_join(F.transform("history", lambda x: x["p_name"]), "|").alias("history"))
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id")
+@query("SELECT d.doc_id, b.item_id, sha256(b.text) AS hypothesis, CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS a FROM documents d JOIN benchmark b ON b.item_id IN (d.doc_id % 40, d.doc_id % 17 + 50)")
 def label_cross(spark, sf_dir):
-    """Documents with the benchmark items that are theirs."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(read(spark, sf_dir, "benchmark").select("item_id"), "item_id").select("doc_id", "item_id")
+    """Documents with those of all labels that they have an annotation for; one of each document's two is no label at all times."""
+    key = lambda k: F.struct(k.alias("key"), F.when(k % 2 == 0, "even").otherwise("odd").alias("value"))
+    d = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.map_from_entries(F.array(key(d % 40), key(d % 17 + 50))).alias("notes"))
+    labels = read(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("hypothesis"))
+    return annotated(docs, labels, F.col("notes"), "item_id").select("doc_id", "item_id", "hypothesis", "a")
 
 
 def conversations(spark, sf_dir):
@@ -432,7 +461,20 @@ def describe_fields(spark, sf_dir):
 
 @query("SELECT sha256(sha256(string_agg(sha256(n_name), chr(10) ORDER BY n_nationkey))) AS sha256 FROM nation")
 def table_digest(spark, sf_dir):
-    return reports.table_hash(read(spark, sf_dir, "nation"), "n_name", "n_nationkey")
+    return reports.tree_digest(read(spark, sf_dir, "nation"), "n_name", "n_nationkey")
+
+
+@query("SELECT sha256('[' || string_agg('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":\"' || n_regionkey || '\"}', ',' ORDER BY n_nationkey) || ']') AS sha256 FROM nation")
+def dataset_digest(spark, sf_dir):
+    """The digest that a table of texts is known by."""
+    return reports.records_digest(read(spark, sf_dir, "nation").withColumn("n_regionkey", F.col("n_regionkey").cast("string")), ["n_name", "n_regionkey"], "n_nationkey")
+
+
+@query(f"WITH {_PACKS}, x AS (SELECT CAST(whole // 16 AS INTEGER) AS batch, whole % 16 AS place, row_pos, group_id FROM a) SELECT batch, substr(sha256(string_agg('row-' || row_pos, chr(10) ORDER BY place)), 1, 16) AS batch_id, count(*) AS rows, count(DISTINCT group_id) AS group_count FROM x GROUP BY batch")
+def batch_ids(spark, sf_dir):
+    """Ready batches by the digest of their row ids, with their rows and groups."""
+    rows = coverage_batches(conversations(spark, sf_dir), 16, seed=None).withColumn("row_id", F.concat(F.lit("row-"), F.col("row_pos").cast("string")))
+    return reports.batch_table(rows)
 
 
 @query("""SELECT 'single' AS phase, event_id, value, CAST(NULL AS BIGINT) AS batch_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'batch', event_id, value, user_id FROM events WHERE event_id % 3 = 1 UNION ALL SELECT 'quality', event_id, value, NULL FROM events WHERE event_id % 3 = 2""")
@@ -443,19 +485,118 @@ def request_union(spark, sf_dir):
     return reports.request_rows(part(0), part(1, "batch_id"), part(2))
 
 
-@query("""SELECT 'request-' || lpad(CAST(i AS VARCHAR), 4, '0') AS request_id, 'customer-segment-' || (i % 4) AS customer_context, i % 2 = 0 AS approve FROM range(1000) t(i)""")
+_REFUND = "Refund policy: approve only what is verified and has all the evidence it needs. Reject the rest. "
+
+
+@query(f"""SELECT 'request-' || lpad(CAST(i AS VARCHAR), 4, '0') AS request_id, repeat('{_REFUND}', 2) AS policy, 'customer-segment-' || (i % 4) AS customer_context, 'purchase-' || lpad(CAST(i AS VARCHAR), 4, '0') AS purchase, CASE WHEN i % 2 = 0 THEN 'purchase verified; all evidence is there' ELSE 'purchase verified; the receipt is missing' END AS evidence, i % 2 = 0 AS approve FROM range(1000) t(i)""")
 def refund_workload(spark, sf_dir):
-    return refunds(spark, 1000, 2).select("request_id", "customer_context", F.col("_truth").alias("approve"))
+    return refunds(spark, 1000, 2).withColumnRenamed("_truth", "approve")
+
+
+def _words(text: str) -> int:
+    return len(text.split())
+
+
+@query("SELECT unnest(['a_00', 'customer_request', 'b_00', 'a_01']) AS field, CAST(64 AS BIGINT) AS ndv, 40 AS least, 40 AS most, CAST(4096 * 40 AS BIGINT) AS tokens, CAST(4096 AS BIGINT) AS rows, true AS reusable, 1.0 AS share")
+def correlated_fields(spark, sf_dir):
+    """A synthetic table of 4,096 rows: all fields have equally many values of equal length."""
+    df = correlated(spark, 4096, 64, 2, 40, 7, _words)
+    return reports.describe(df.drop("_truth"), [c for c in df.columns if c != "_truth"], lambda c: F.size(F.split(c, r"\s+"))).withColumnRenamed("column", "field").withColumn("share", F.col("share").cast("decimal(2,1)")).withColumn("tokens", F.col("tokens").cast("long"))
+
+
+@query("SELECT unnest(['record_id', 'customer_request', 'company_policy', 'service_context', 'profile_0', 'profile_1', 'profile_2', 'profile_3', 'profile_4', 'profile_5']) AS field, CAST(unnest([512, 512, 1, 1, 4, 8, 16, 32, 64, 64]) AS BIGINT) AS ndv, unnest([1, 263, 132, 132, 132, 132, 132, 132, 132, 132]) AS most")
+def shared_fields(spark, sf_dir):
+    """A synthetic table of 512 rows, eighty percent of whose tokens can be reused."""
+    df = shared(spark, 512, 0.8, 7, _words)
+    out = reports.describe(df.drop("_truth"), [c for c in df.columns if c != "_truth"], lambda c: F.size(F.split(c, r"\s+")))
+    return out.where("least = most").select(F.col("column").alias("field"), "ndv", "most")
 
 
-@query()
+def _file(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """One text file of ``rows`` (at, value) in order; its folder's path."""
+    path = f"{shared_folder(spark)}/rowloom-{uuid.uuid4().hex}{name}"
+    rows.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+@query("""SELECT event_id AS _pos, '{"k":' || (props->>'$.k') || ',"z":[null,"' || event_type || '"]}' AS props, CAST(user_id AS VARCHAR) AS "user", 'true' AS ok, to_json(event_type || chr(10) || 'é"') AS note FROM events""")
+def json_lines_cells(spark, sf_dir):
+    """A file of JSON Lines, with a blank line after each, as cells that keep their types."""
+    v = F.concat(F.lit('{"user": '), F.col("user_id").cast("string"), F.lit(', "ok":true,"props":{"z":[null , "'), F.col("event_type"), F.lit('"], "k":'), F.get_json_object("props", "$.k"), F.lit('},"note": "'), F.col("event_type"), F.lit('\\n\\u00e9\\""}\n'))
+    path = _file(spark, read(spark, sf_dir, "events").select(F.col("event_id").alias("at"), v.alias("value")), ".jsonl")
+    table = read_json_file(spark, path, lines=True)
+    return table.cells().toDF("_pos", *table.fields)
+
+
+_FAULTS = ("{}", '{"a":1,"a":2}', '{"x":{"b":1,"b":1}}', '{"a":NaN}', '{"a":1e999}', "[1]", '"text"', '{"a":', '{"a":-Infinity}', '{"a":1.5}')
+
+
+@query("SELECT event_id, event_id % 10 IN (0, 9) AS accepted FROM events")
+def json_rejects(spark, sf_dir):
+    """Lines of JSON that are records, and lines that are refused."""
+    lines = read(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.element_at(F.array(*map(F.lit, _FAULTS)), (F.col("event_id") % 10 + 1).cast("int")).alias("text"))
+    return parse_texts(lines, True).select(F.col("at").alias("event_id"), F.col("fault").isNull().alias("accepted"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, unnest([event_id % 2500, user_id * 7]) AS item, unnest([1, 2]) AS p FROM events),
+k AS (SELECT s.*, part.p_name, part.p_type, row_number() OVER (ORDER BY event_id, p) AS row_pos FROM s JOIN part ON p_partkey = item),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_id, item ORDER BY p) AS nth FROM k),
+h AS (SELECT e.event_id, coalesce(string_agg(part.p_name, '|' ORDER BY x.p), '') AS history FROM events e CROSS JOIN (SELECT unnest([1, 2]) AS p) x LEFT JOIN part ON p_partkey = CASE x.p WHEN 1 THEN (e.event_id + 5) % 3000 ELSE e.user_id END GROUP BY e.event_id)
+SELECT CASE nth WHEN 1 THEN 'impression-' || event_id || ':' || item ELSE 'row-' || lpad(CAST(row_pos AS VARCHAR), 9, '0') END AS row_id, 'impression-' || event_id AS group_id, p_name AS candidate, p_type AS category, 'u' || user_id AS user_id, history, p = 1 AS gold FROM n JOIN h USING (event_id)""")
+def mind_rows(spark, sf_dir):
+    """A whole news workload, loaded from files: candidates of impressions with the last two items of their readers' histories."""
+    tab = lambda *cs: F.concat_ws("\t", *cs)
+    parts = read(spark, sf_dir, "part")
+    news = parts.select(F.col("p_partkey").alias("at"), tab(F.col("p_partkey").cast("string"), "p_type", "p_brand", "p_name", F.lit("abstract"), F.lit("u"), F.lit("[]"), F.lit("[]")).alias("value"))
+    e, u = F.col("event_id"), F.col("user_id")
+    shown = F.concat_ws(" ", F.concat((e % 2500).cast("string"), F.lit("-1")), F.concat((u * 7).cast("string"), F.lit("-0")))
+    seen = read(spark, sf_dir, "events").select(e.alias("at"), tab(e.cast("string"), F.concat(F.lit("u"), u.cast("string")), F.lit("t"), F.concat_ws(" ", F.lit("0"), (e + 5) % 3000, u), shown).alias("value"))
+    found = load_mind(spark, _file(spark, news, ".tsv"), _file(spark, seen, ".tsv"), history_items=2).rows
+    history = F.array_join(F.transform("state.history", lambda x: x["title"]), "|")
+    return found.select("row_id", "group_id", F.col("state.candidate.title").alias("candidate"), F.col("state.candidate.category").alias("category"), "state.user_id", history.alias("history"), "gold")
+
+
+@query("""WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS p FROM documents WHERE length(trim(text)) > 0),
+x AS (SELECT d.*, b.item_id, b.text AS hypothesis FROM d JOIN benchmark b ON b.item_id = doc_id % 40 OR (b.item_id = doc_id % 7 AND b.item_id <> doc_id % 40))
+SELECT 'contract-' || doc_id || ':h' || item_id AS row_id, 'contract-' || doc_id AS group_id, 'h' || item_id AS hypothesis_id, sha256(hypothesis) AS hypothesis, CAST(doc_id AS VARCHAR) AS document_id, sha256(text) AS contract_text, row_number() OVER (ORDER BY p, item_id) AS row_pos, ['Entailment', 'Contradiction', 'NotMentioned'][1 + item_id % 3] AS gold FROM x""")
+def contract_rows(spark, sf_dir):
+    """A whole contract workload, loaded from a file: documents with those hypotheses that annotate them."""
+    d = F.col("doc_id")
+    choice = lambda k: F.struct(F.element_at(F.array(*map(F.lit, CONTRACT_CHOICES)), (k % 3 + 1).cast("int")).alias("choice"), F.array().cast("array<int>").alias("spans"))
+    notes = F.map_from_entries(F.array_distinct(F.array(*(F.struct(F.concat(F.lit("h"), k.cast("string")).alias("key"), choice(k).alias("value")) for k in (d % 40, d % 7)))))
+    docs = read(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0).select(d.alias("at"), F.to_json(F.struct(d.cast("string").alias("id"), "text", F.lit("t").alias("document_type"), F.array(F.struct(notes.alias("annotations"))).alias("annotation_sets"))).alias("value"))
+    first, last = docs.agg(F.min("at"), F.max("at")).first()
+    comma = lambda at, value: F.when(F.col("at") == at, value).otherwise(F.concat(F.lit(","), value))
+    labels = read(spark, sf_dir, "benchmark").select((F.col("item_id") - (1 << 40)).alias("at"), F.concat(F.lit('"h'), F.col("item_id").cast("string"), F.lit('":'), F.to_json(F.struct(F.col("text").alias("hypothesis")))).alias("value"))
+    least = labels.agg(F.min("at")).first()[0]
+    frame = spark.createDataFrame([(-(1 << 41), '{"labels":{'), (-1, '},"documents":['), (last + 1, "]}")], "at long, value string")
+    whole = frame.unionByName(labels.select("at", comma(least, F.col("value")).alias("value"))).unionByName(docs.select("at", comma(first, F.col("value")).alias("value")))
+    found = load_contract_nli(spark, _file(spark, whole, ".json")).rows
+    return found.select("row_id", "group_id", "state.hypothesis_id", F.sha2("state.hypothesis", 256).alias("hypothesis"), "state.document_id", F.sha2("state.contract_text", 256).alias("contract_text"), "row_pos", "gold")
+
+
+_BATCHED = greedy_sql("SELECT o_custkey // 500 AS batch, o_orderkey, CAST(o_custkey AS VARCHAR) AS a, o_orderstatus AS b, o_orderpriority AS c FROM orders", ["a", "b", "c"], "batch")
+
+
+@query(f"""WITH {_BATCHED} SELECT batch, o_orderkey, row_number() OVER (PARTITION BY batch ORDER BY list_transform(ord, lambda i: [a, b, c][i + 1]), o_orderkey) - 1 AS _exec_pos,
+CAST(strlen('{{"' || '{'":"","'.join(ORDERS)}' || '":""}}') + strlen(a) + strlen(b) + strlen(c) AS INTEGER) AS bytes FROM t JOIN g ON batch = grp""")
 def plan_by_batch(spark, sf_dir):
     """Each order placed by the plan of its customer's batch of 500 alone."""
     df = read(spark, sf_dir, "orders").withColumn("batch", F.floor(F.col("o_custkey") / 500)).select("batch", "o_orderkey", *ORDERS)
     return plan_by_group(spark, df, "batch", ["o_orderkey"], ORDERS).select("batch", "o_orderkey", "_exec_pos", F.octet_length("state").alias("bytes"))
 
 
-@query()
+_CELLS = ["c_mktsegment", "CAST(c_nationkey AS VARCHAR)", "CAST(c_acctbal AS VARCHAR)", "c_name", "CAST(c_custkey AS VARCHAR)"]
+_EXPLAINED = greedy_sql("SELECT c_custkey AS pos, " + ", ".join(f"{c} AS v{i}" for i, c in enumerate(_CELLS)) + " FROM customer", [f"v{i}" for i in range(5)])
+
+
+@query(f"""WITH {_EXPLAINED},
+m AS (SELECT 'original' AS method, [0, 1, 2, 3, 4] AS ord, false AS sorted UNION ALL SELECT 'lexicographic', [0, 1, 2, 3, 4], true UNION ALL SELECT 'greedy', ord, true FROM g),
+s AS (SELECT method, pos, sorted, list_transform(ord, lambda i: [v0, v1, v2, v3, v4][i + 1]) AS vals, '{{' || array_to_string(list_transform(ord, lambda i: ['{"', '".join(f'"{c}":"' for c in CUSTOMER)}'][i + 1] || [v0, v1, v2, v3, v4][i + 1] || '"'), ',') || '}}' AS state FROM m, t),
+p AS (SELECT method, state, lag(state) OVER (PARTITION BY method ORDER BY CASE WHEN sorted THEN vals ELSE [] END, pos) AS before FROM s),
+b AS (SELECT method, CAST(sum(strlen(state)) AS BIGINT) AS serialized_bytes, CAST(sum(coalesce(len(list_filter(range(1, length(state) + 1), lambda i: state[1:i] = before[1:i])), 0)) AS BIGINT) AS adjacent_prefix_bytes FROM p GROUP BY method),
+c AS (SELECT method, list(n ORDER BY k) AS prefix_group_counts FROM (SELECT method, k, CAST(list_reduce(list_transform(ord[1:k], lambda i: 1 << i), lambda x, y: x | y) AS INTEGER) AS mask FROM m, range(1, 6) r(k)) JOIN cnt USING (mask) GROUP BY method)
+SELECT method, serialized_bytes, adjacent_prefix_bytes, prefix_group_counts FROM b JOIN c USING (method)""")
 def explain_layouts(spark, sf_dir):
     """Shared bytes of the customers' rows under three layouts."""
     df = read(spark, sf_dir, "customer").select(*CUSTOMER)
