@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators import reports
+from rowloom.plans import packing
 from rowloom.sources.workloads import correlated, coverage_batches, interleaved_batches, load_contract_nli, load_mind, prompt_filter, read_tsv, refunds, shared, sized, unique_identifiers
 
 
@@ -102,7 +104,7 @@ def plain_batches(sizes, batch_size, seed):
     """Batches as lists of rows, by loops."""
     order = list(range(len(sizes)))
     if seed is not None:
-        random.Random(seed).shuffle(order)
+        order.sort(key=lambda i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest())
     stream, at = [], 0
     packs = []
     while at < len(order):
@@ -124,8 +126,9 @@ def batches_of(df):
     return [out[k] for k in sorted(out)]
 
 
-@pytest.mark.parametrize("seed", [3, None])
-def test_batches(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(3, 65_536), (None, 65_536), (None, 3)])
+def test_batches(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(packing, "CHUNK", chunk)
     sizes = [3, 1, 4, 2, 3, 2, 5, 1]
     packs, whole = plain_batches(sizes, 5, seed)
     assert batches_of(coverage_batches(groups(spark, sizes), 5, seed=seed)) == whole
@@ -136,6 +139,21 @@ def test_batches(spark, seed):
         coverage_batches(groups(spark, sizes), 0)
 
 
+def test_chunks_of_groups_link_up(spark, monkeypatch):
+    rng = random.Random(8)
+    for chunk, full in ((1, 3), (4, 7), (5, 1), (7, 50)):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        sizes = [rng.choice((1, 2, 9, 30)) for _ in range(60)]
+        expected, pack, turn, held, start, rows = [], 0, 0, 0, 0, 0
+        for i, n in enumerate(sizes):
+            expected.append((i, pack, turn, start))
+            held, turn, rows = held + n, turn + 1, rows + n
+            if held >= full:
+                pack, turn, held, start = pack + 1, 0, 0, rows
+        found = packing.pack_groups(spark.createDataFrame(list(enumerate(sizes)), "at long, n long"), full)
+        assert sorted(map(tuple, found.collect())) == expected
+
+
 def test_prompt_filter(spark):
     fit, over = prompt_filter(spark.createDataFrame([("a", 5), ("a", 9), ("b", 10), ("c", 3)], "group_id string, length int"), 9)
     assert sorted(r[0] for r in fit.collect()) == ["a", "c"] and [tuple(r) for r in over.collect()] == [("b", 10)]
