@@ -170,8 +170,40 @@ def identify(df: DataFrame, model: Model, host: Column, domain: Column | None =
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
-    """The language of each of ``documents``; sources stand for hosts, and neither markup nor address is known."""
+    """The language of each of ``documents``, with its posterior to six decimals; sources stand for hosts, and neither markup
+    nor address is known."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
     out = identify(docs.select("doc_id", "source", "text"), model, F.col("source"))
-    return out.select("doc_id", F.col("__rl_lang").alias("language"), F.col("__rl_posterior").alias("posterior"), F.col("__rl_accepted").alias("accepted"))
+    return out.select("doc_id", F.col("__rl_lang").alias("language"), F.round("__rl_posterior", 6).alias("posterior"), F.col("__rl_accepted").alias("accepted"))
+
+
+#: The same where no language has more than SAMPLE labelled rows, so that all of them fit its model, and one at least has some.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(source, '') AS source, text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+bytes AS (SELECT rid, unnest(list_transform(range(length(x) // 2), lambda i: [i, CAST('0x' || substr(x, 2 * i + 1, 2) AS INTEGER)])) AS e FROM d),
+low AS (SELECT rid, e[1] AS i, CASE WHEN e[2] BETWEEN 65 AND 90 THEN e[2] + 32 WHEN e[2] BETWEEN 9 AND 13 THEN 32 ELSE e[2] END AS c FROM bytes),
+letters AS (SELECT rid, count(*) AS n FROM low WHERE c BETWEEN 97 AND 122 OR c >= 128 GROUP BY rid),
+three AS (SELECT rid, c AS a, lead(c) OVER w AS b, lead(c, 2) OVER w AS z FROM low WINDOW w AS (PARTITION BY rid ORDER BY i)),
+grams AS (SELECT rid, ((a * {0x9E3779B1} + b * {0x85EBCA77} + z * {0xC2B2AE3D}) % {1 << 32}) >> 17 AS bucket, count(*) AS n FROM three
+  WHERE z IS NOT NULL AND (a = 32 OR a BETWEEN 97 AND 122 OR a >= 128) AND (b = 32 OR b BETWEEN 97 AND 122 OR b >= 128) AND (z = 32 OR z BETWEEN 97 AND 122 OR z >= 128) GROUP BY ALL),
+known AS (SELECT rid, lang FROM d WHERE lang IS NOT NULL AND text IS NOT NULL),
+counts AS (SELECT lang, bucket, sum(n) AS n FROM grams JOIN known USING (rid) GROUP BY ALL),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang) AS k, count(*) OVER () AS m, coalesce((SELECT sum(n) FROM counts c WHERE c.lang = l.lang), 0) AS total FROM (SELECT DISTINCT lang FROM known) l),
+scores AS (SELECT g.rid, l.lang, sum(g.n * CAST(CAST(ln({1 - FOREIGN} * ((coalesce(c.n, 0) + 0.5) / (total + {0.5 * BUCKETS})) + {FOREIGN / BUCKETS}) AS FLOAT) AS DOUBLE)) AS v FROM grams g CROSS JOIN langs l LEFT JOIN counts c ON c.lang = l.lang AND c.bucket = g.bucket GROUP BY ALL
+  UNION ALL SELECT rid, 'und', sum(n * CAST(CAST(-ln({BUCKETS}) AS FLOAT) AS DOUBLE)) FROM grams GROUP BY rid),
+every AS (SELECT lang, k, CAST((1 - {UNKNOWN}) / m AS DOUBLE) AS prior FROM langs UNION ALL SELECT 'und', (SELECT count(*) + 1 FROM langs), {UNKNOWN}),
+logs AS (SELECT d.rid, d.source, e.lang, e.k, e.prior, coalesce(s.v, 0) / 3 AS v, coalesce(n, 0) AS letters FROM d CROSS JOIN every e LEFT JOIN scores s ON s.rid = d.rid AND s.lang = e.lang LEFT JOIN letters t ON t.rid = d.rid),
+flat AS (SELECT *, exp(v + ln(prior) - max(v + ln(prior)) OVER (PARTITION BY rid)) AS r FROM logs),
+votes AS (SELECT source, lang, prior, r / sum(r) OVER (PARTITION BY rid) AS p FROM flat WHERE letters > 0),
+whole AS (SELECT lang, sum(p) AS s FROM votes GROUP BY lang),
+top AS (SELECT e.lang, (coalesce(s, 0) + {WEIGHT} * prior) / ((SELECT coalesce(sum(s), 0) FROM whole) + {WEIGHT}) AS t, coalesce(s, 0) AS s FROM every e LEFT JOIN whole USING (lang)),
+above AS (SELECT lang, t, (s + {WEIGHT} * t) / (sum(s) OVER () + {WEIGHT}) AS a FROM top),
+hosts AS (SELECT source, lang, sum(p) AS s FROM votes GROUP BY ALL),
+priors AS (SELECT source, lang, (s + {WEIGHT} * a) / (sum(s) OVER (PARTITION BY source) + {WEIGHT}) AS q FROM hosts JOIN above USING (lang)),
+fused AS (SELECT l.*, v + ln(coalesce(q, t)) AS f FROM logs l JOIN above USING (lang) LEFT JOIN priors p ON p.source = l.source AND p.lang = l.lang),
+raised AS (SELECT *, exp(f - max(f) OVER (PARTITION BY rid)) AS r FROM fused),
+post AS (SELECT *, r / sum(r) OVER (PARTITION BY rid) AS p FROM raised),
+best AS (SELECT rid, max(letters) AS letters, arg_min(lang, struct_pack(a := -p, b := k)) AS lang, max(p) AS p, max(p) FILTER (lang = 'und') AS und FROM post GROUP BY rid)
+SELECT doc_id, CASE WHEN letters > 0 THEN best.lang ELSE 'und' END AS language, round(p, 6) AS posterior, letters > 0 AND und <= {1 - LEAST} AS accepted FROM d JOIN best USING (rid)
+"""
