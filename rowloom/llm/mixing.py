@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .numbering import CHUNK_ROWS, ORDER_BITS, chunk_bits, chunk_of, running
+from .numbering import CHUNK_ROWS, chunk_bits, chunk_of, order_hash, running
 from .scratch import dropping, store
 from .words import Words, pieces
 
@@ -41,9 +41,8 @@ def source_key(source: Column) -> Column:
 
 
 def stream_order(doc_id: Column, text: Column) -> Column:
-    """A hash that orders a source's documents, of ORDER_BITS bits (the last two are zero): equal rows alone share it."""
-    row = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(text.isNull(), F.lit(":")).otherwise(F.concat(F.lit("::"), text)))
-    return F.shiftleft(F.conv(F.substring(F.md5(row.cast("binary")), 1, 15), 16, 10).cast("long"), ORDER_BITS - 60)
+    """A hash that orders a source's documents: equal rows alone share it."""
+    return order_hash(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.when(text.isNull(), F.lit(":")).otherwise(F.concat(F.lit("::"), text))))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:

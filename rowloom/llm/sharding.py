@@ -124,7 +124,7 @@ def shard(df: DataFrame, shards: int, size: Column, group: Column, carry: dict[s
         beyond = (F.col("__rl_k") > k) | ((F.col("__rl_k") == k) & (F.col("__rl_g") > F.lit(bytes(g))))
         number = number + F.when(beyond, 1).otherwise(0)
     identity = [names[n] for n in identity]
-    rows = rows.withColumn("__rl_shard", number).withColumn("__rl_o", order_hash(*map(F.col, identity))).withColumn("__rl_c", chunk_of(F.col("__rl_o"), chunk_bits(n)))
+    rows = rows.withColumn("__rl_shard", number).withColumn("__rl_o", order_hash(F.concat_ws(":", *identity))).withColumn("__rl_c", chunk_of(F.col("__rl_o"), chunk_bits(n)))
     out = running(rows, ["__rl_shard"], "__rl_c", ["__rl_o", *identity], F.lit(1), "__rl_slot")
     return out.select(*(F.col(names[n]).alias(n) for n in carry), F.col("__rl_shard").alias("shard"), F.col("__rl_slot").cast("long").alias("slot"))
 
@@ -139,3 +139,36 @@ def op6_sharding(spark, sf_dir: str) -> DataFrame:
     carry = {"doc_id": F.col("doc_id"), "size": size, "text_crc32": F.crc32(text.cast("binary"))}
     out = shard(docs, 8, size, group, carry, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sql(shards: int = 8) -> str:
+    def jumps(name: str, n: int, first: str, capacity: str) -> str:
+        """The ends that greedy filling reaches in n steps."""
+        found = [first, *(f"{name}j{i}.{name}{i}" for i in range(1, n + 1))]
+        return "".join(f", LATERAL (SELECT coalesce(max(e), 0) AS {name}{i + 1} FROM ends WHERE e <= {found[i]} + {capacity}) AS {name}j{i + 1}" for i in range(n))
+
+    reached = lambda name: "[" + ", ".join(f"{name}j{i}.{name}{i}" for i in range(1, shards)) + "][lft]"
+    least = f"greatest((n + {shards - 1}) // {shards}, m)"
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, {0xEDB88320}) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, substr(sha256(coalesce('t' || text, 'n')), 1, 32) AS g, hex(encode(text)) AS x FROM documents),
+crc AS (SELECT rid, xor(list_reduce(list_prepend({0xFFFFFFFF}, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), {0xFFFFFFFF}) AS c FROM d, crc_table WHERE text IS NOT NULL),
+groups AS (SELECT g, sum(size) AS b FROM d GROUP BY g),
+ends AS MATERIALIZED (SELECT g, CAST(sum(b) OVER (ORDER BY g) AS BIGINT) AS e FROM groups),
+total AS MATERIALIZED (SELECT CAST(sum(b) AS BIGINT) AS n, CAST(max(b) AS BIGINT) AS m FROM groups),
+search(low, high) AS (SELECT {least}, {least} + m FROM total
+  UNION ALL SELECT CASE WHEN xj{shards}.x{shards} >= n THEN low ELSE mid + 1 END, CASE WHEN xj{shards}.x{shards} >= n THEN mid ELSE high END
+  FROM (SELECT low, high, (low + high) // 2 AS mid, n FROM search, total WHERE low < high) p{jumps("x", shards, "0", "mid")}),
+cap AS MATERIALIZED (SELECT low AS c, n FROM search, total WHERE low = high),
+cuts(lft, start) AS (SELECT {shards - 1}, CAST(0 AS BIGINT) UNION ALL
+  SELECT lft - 1, CASE WHEN u_ok AND (NOT o_ok OR abs(u - goal) <= abs(o - goal)) THEN u WHEN o_ok THEN o ELSE most END FROM (
+    SELECT lft, goal, u, o, most, u > start AND u <= start + c AND {reached("a")} >= n AS u_ok, o > start AND o <= start + c AND {reached("b")} >= n AS o_ok
+    FROM (SELECT lft, start, c, n, start + least(c, (n - start + lft) // (lft + 1)) AS goal FROM cuts, cap WHERE lft > 0 AND start < n) q,
+    LATERAL (SELECT coalesce(max(e), 0) AS u FROM ends WHERE e <= goal) AS uu, LATERAL (SELECT coalesce(min(e), uu.u) AS o FROM ends WHERE e > greatest(uu.u, start)) AS oo,
+    LATERAL (SELECT coalesce(max(e), 0) AS most FROM ends WHERE e <= start + c) AS mm{jumps("a", shards - 1, "uu.u", "c")}{jumps("b", shards - 1, "oo.o", "c")})),
+placed AS (SELECT doc_id, d.size, crc.c AS text_crc32, (SELECT count(*) FROM cuts WHERE lft < {shards - 1} AND start < e) AS shard FROM d JOIN ends USING (g) LEFT JOIN crc USING (rid))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, text_crc32, size)), 1, 15), doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed
+"""
+
+
+SQL = _sql()
