@@ -26,14 +26,16 @@ from .scratch import dropping, store, together
 from .vectors import CENTROIDS, as_matrix, codebook, distinct_vectors, sampled, squared
 
 #: Neighbours kept of each vector, those that have it as one and are compared in a round, and rounds at most.
-DEGREE, REVERSE, ROUNDS = 24, 16, 8
+DEGREE, REVERSE, ROUNDS = 24, 16, 6
 #: Offers taken, as a part of all neighbours, below which rounds end.
-FEW = 0.02
+FEW = 0.05
 #: Vectors of a coarse cell on average, of a block at most (on average, too), cells that each is put in, and neighbours
 #: kept of a block dealt at random.
 OCCUPANCY, BLOCK, CELLS, RANDOM = 128, 256, 2, 4
-#: Vectors a query keeps, how many of them it looks up in one hop, and the points it begins from besides itself.
-WIDTH, LOOKED_UP, ENTRIES = 512, 256, 32
+#: Vectors a query keeps (all not yet looked up are looked up in one hop), and the points it begins from besides itself.
+WIDTH, ENTRIES = 320, 32
+#: Points beyond those asked for that are measured exactly, as the search adds up components in another order.
+MORE = 8
 #: Pairs compared at a time.
 PAIRS = 1 << 21
 
@@ -52,6 +54,24 @@ def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As ``far``, but for the last digits."""
+    d = b - a
+    with np.errstate(over="ignore"):
+        out = np.einsum("ij,ij->i", d, d)
+    out = np.sqrt(out)
+    if len(odd := np.flatnonzero((out > 1e150) | (out < 1e-140))):
+        out[odd] = far(a[odd], b[odd])
+    return out
+
+
+def exact(batches, width: int):
+    """(query, id, score) of rows with both vectors."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array(far(as_matrix(b.column("own"), width), as_matrix(b.column("vec"), width)))], ["query", "id", "score"])
+
+
 def put(batches, centres: np.ndarray, width: int):
     """(id, cell, turn): the CELLS nearest coarse cells of each vector, nearest first."""
     for b in batches:
@@ -211,8 +231,13 @@ def scored(batches, width: int):
             order = np.argsort(ids)
             sides.append((as_matrix(t.column("vec"), width), order[np.searchsorted(ids[order], met.column(c).to_numpy())]))
         (q, qi), (p, pi) = sides
-        d = np.concatenate([far(q[qi[at : at + 8192]], p[pi[at : at + 8192]]) for at in range(0, len(qi), 8192)]) if len(qi) else np.zeros(0)
-        u, v, d, _ = best(met.column("query").to_numpy(), met.column("node").to_numpy(), d, np.ones(len(d), bool), WIDTH)
+        d = np.concatenate([near_enough(q[qi[at : at + 4096]], p[pi[at : at + 4096]]) for at in range(0, len(qi), 4096)]) if len(qi) else np.zeros(0)
+        u, v = met.column("query").to_numpy(), met.column("node").to_numpy()
+        order = np.lexsort((v, d, u))
+        u, v, d = u[order], v[order], d[order]
+        first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+        keep = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u)))) < WIDTH
+        u, v, d = u[keep], v[keep], d[keep]
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64())], ["query", "node", "d"])
 
 
@@ -221,11 +246,14 @@ def step(batches):
     for g in grouped(batches, ["query"]):
         state = g.column("ids").is_valid().to_numpy(zero_copy_only=False)
         old, met = g.filter(pa.array(state)).to_pylist()[0], g.filter(pa.array(~state))
-        ids, d = np.array([*old["ids"], *met.column("node").to_pylist()], np.int64), np.array([*old["ds"], *met.column("d").to_pylist()], float)
-        done = np.array([*old["done"], *[False] * met.num_rows], bool)
+        node, far_off = met.column("node").to_numpy(), met.column("d").to_numpy()
+        fresh = np.flatnonzero(~np.isin(node, np.array(old["ids"], np.int64)))
+        fresh = fresh[np.unique(node[fresh], return_index=True)[1]]
+        ids, d = np.concatenate([np.array(old["ids"], np.int64), node[fresh]]), np.concatenate([np.array(old["ds"], float), far_off[fresh]])
+        done = np.concatenate([np.array(old["done"], bool), np.zeros(len(fresh), bool)])
         order = np.lexsort((ids, d))[:WIDTH]
         ids, d, done = ids[order], d[order], done[order]
-        front = np.flatnonzero(~done)[:LOOKED_UP]
+        front = np.flatnonzero(~done)
         done[front] = True
         one = lambda x, t: pa.array([x.tolist()], pa.list_(t))
         yield pa.RecordBatch.from_arrays([g.column("query").slice(0, 1), one(ids, pa.int64()), one(d, pa.float64()), one(done, pa.bool_()), one(ids[front], pa.int64())], ["query", "ids", "ds", "done", "front"])
@@ -237,18 +265,18 @@ STATE = "query long, ids array<long>, ds array<double>, done array<boolean>, fro
 def search_graph(graph: DataFrame, home: DataFrame, queries: DataFrame, entries: list[int], width: int) -> DataFrame:
     """(query, ids, ds): the nearest points found of each point in ``queries`` (id), itself left out; nearest first."""
     both = graph.select("u", "v").unionByName(nearest(graph, "v", DEGREE).select(F.col("v").alias("u"), F.col("u").alias("v")))
-    around = store(both.groupBy("u").agg(F.collect_set("v").alias("around")), "graph-around")
+    placed = home.select(F.col("id").alias("node"), "block")
+    around = both.join(placed.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.collect_set(F.struct(F.col("v").alias("node"), "block")).alias("around"))
+    around = store(around, "graph-around")
     asked = store(home.join(queries, "id").select(F.col("id").alias("query"), F.col("vec").alias("vec")), "search-queries")
     state = asked.select("query", *(F.array().cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("ds", "double"), ("done", "boolean"))), F.array("query").alias("front"))
-    seen = asked.select("query", F.col("query").alias("node"))
-    first = asked.select("query", F.explode(F.array(*map(F.lit, entries)).cast("array<long>")).alias("node"))
+    first = asked.select("query", F.explode(F.array(*map(F.lit, entries)).cast("array<long>")).alias("node")).join(placed, "node").select("query", "node", "block")
     while True:
-        met = state.select("query", F.explode("front").alias("u")).join(around, "u").select("query", F.explode("around").alias("node"))
+        # a point met before is in the state, or farther than all that is
+        met = state.select("query", F.explode("front").alias("u")).join(around, "u").select("query", F.inline("around"))
         if first is not None:
             met, first = met.unionByName(first), None
-        met = met.distinct().join(seen, ["query", "node"], "left_anti").join(home.select(F.col("id").alias("node"), "block"), "node")
-        met = store(met.select("block", "query", "node"), "search-met")
-        seen = seen.unionByName(met.select("query", "node"))
+        met = store(met.where("node <> query").distinct().select("block", "query", "node"), "search-met")
         none = F.lit(None)
         points = home.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("block", none.cast("long").alias("query"), F.col("id").alias("node"), "vec")
         coming = met.select("block", "query").distinct().join(asked, "query").select("block", "query", none.cast("long").alias("node"), "vec")
@@ -282,7 +310,10 @@ def _neighbours(df: DataFrame, queries, k: int) -> DataFrame:
     graph, home = build_graph(points, width)
     entries = [r[0] for r in points.orderBy("digest").select("id").limit(ENTRIES).collect()]
     found = search_graph(graph, home, asked.select("id").distinct(), entries, width)
-    found = found.select("query", F.explode(F.slice(F.arrays_zip("ids", "ds"), 1, k)).alias("x")).select("query", F.col("x.ids").alias("id"), F.col("x.ds").alias("score"))
+    found = found.select("query", F.explode(F.slice("ids", 1, k + MORE)).alias("id"))
+    vectors = home.select("id", "vec")
+    found = found.join(vectors.withColumnsRenamed({"id": "query", "vec": "own"}), "query").join(vectors, "id").select("query", "id", "own", "vec")
+    found = found.mapInArrow(lambda it: exact(it, width), "query long, id long, score double")
     found = found.unionByName(asked.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("score")).distinct())
     # of rows with equal vectors, the k + 1 with the least ids are enough; few of them stay in each part of the table
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(64))
