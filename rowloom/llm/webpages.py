@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .members import may_occur
 from .scratch import dropping, store
 
 #: Log odds: of boxes in an article and of all on pages without one; of what lies beside an article; and the range of the tree's.
@@ -158,7 +159,7 @@ class Page:
 
     def judged(self, i: int) -> bool:
         """Whether the tree has a say on the element (of what holds an article: on the text right in it)."""
-        return not self.gone[i] and self.tag[i] not in INLINE and not (self.inside[i] and (self.tag[i] in PROSE or not self.inside[self.up[i]]))
+        return not self.gone[i] and self.tag[i] not in INLINE and self.tag[i] not in VOID and not (self.inside[i] and (self.tag[i] in PROSE or not self.inside[self.up[i]]))
 
     def nodes(self):
         """(path, presentation, content) of each path of elements that are judged or that others are compared with: hashes of
@@ -294,7 +295,13 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", by_tree:
                 met = nodes.select("host", "page", "path").distinct().join(tree, ["host", "path"])
                 each = F.collect_list(F.struct("path", "pages", F.greatest("presentation", "content").alias("entropy")).cast(entry))
                 found = store(met.groupBy("host", "page").agg(each.alias("tree")), "page-verdicts", result=True)
-    told = told.join(found, ["host", "page"], "left") if found is not None else told.withColumn("tree", F.lit(None).cast(f"array<{entry}>"))
+    alone = told.withColumn("tree", F.lit(None).cast(f"array<{entry}>"))
+    if found is None:
+        told = alone
+    else:  # pages of which the tree knows nothing stay where they are
+        known = may_occur(found, ["host", "page"])
+        columns = ["html", "tree", *names]
+        told = told.where(known).join(found, ["host", "page"], "left").select(columns).unionByName(alone.where(~known).select(columns))
     schema = ", ".join([*(f"{n} {told.schema[n].dataType.simpleString()}" for n in names), "__rl_text string"])
     out = told.select("html", "tree", *names).mapInArrow(lambda it: _texts(it, names), schema)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, pages.columns, strict=True)), "__rl_text")

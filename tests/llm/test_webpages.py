@@ -115,3 +115,9 @@ def test_deep_pages_take_linear_memory():
         tree = {x[0]: (30, 0.9) for x in p.nodes()}
         assert p.text() == " ".join(p.text().split()) and isinstance(p.text(tree), str)
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_pages_without_boxes_of_their_own_give_no_nodes():
+    assert len(list(Page(PAGE).nodes())) == 2  # the header in the article, and the article for comparison
+    for source in ("<article><p>a<br>b<hr><img></article><wbr>", "<html><body><nav>n</nav><div class=ad>a</div><article><h1>h</h1><p><b>x<br><p>y</article><footer>f</footer>"):
+        assert list(Page(source).nodes()) == []
