@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .words import pieces as cut
 
 MARK = "▁"
-#: Words that a task keeps between batches, their most characters, and pairs of pieces that a worker keeps; beyond it they are found again.
-KEPT, LONG, PAIRS = 150_000, 64, 300_000
+#: Words that a worker keeps between batches, their most characters, and pairs of pieces that it keeps; beyond it they are found again.
+KEPT, LONG, PAIRS = 400_000, 64, 600_000
 #: Bytes of text that are encoded together.
 BATCH = 1 << 20
 # Kinds of models, and numbers of fields in their files.
@@ -118,6 +118,7 @@ class Pieces:
         self.strings, self.bytes_of = list(self.text), [i.to_bytes(4, "little") for i in range(size)]
         self.sizes = [len(x) for x in self.text]
         self.surfaces = pa.array(self.as_bytes, pa.binary())
+        self.kept: dict[str, bytes] = {}
         self.follows: dict[int, bool] = {}
         self.stands: dict[str, bool] = {}
 
@@ -235,8 +236,9 @@ class Pieces:
         every = coded.dictionary.to_pylist()
         fresh = [w for w in every if w not in kept]
         if len(kept) + len(fresh) > KEPT:
+            here = {w: kept[w] for w in every if w in kept}
             kept.clear()
-            fresh = every
+            kept.update(here)
         found = self.encode_words([MARK + w for w in fresh])
         found = {w: found[MARK + w] for w in fresh}
         kept.update((w, x) for w, x in found.items() if len(w) <= LONG)
@@ -289,9 +291,9 @@ def loaded(path: str) -> Pieces:
 
 def encoded(batches, path: str, column: str = "text"):
     """(batch, ids of its texts)"""
-    model, kept = loaded(path), {}
+    model = loaded(path)
     for b in cut(batches, BATCH, column):
-        yield b, model.encode(b.column(column), kept)
+        yield b, model.encode(b.column(column), model.kept)
 
 
 def encode_rows(batches, path: str, carried: list[str]):
