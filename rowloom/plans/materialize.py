@@ -30,6 +30,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, and that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def number(df: DataFrame, out: str, order_by: list, rows: int | None = None) -> DataFrame:
     """Add ``out``, the position of each row in the order of ``order_by`` (which must be total), from 0.
 
