@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import KEEPING
 from .words import pieces as cut
 
 MARK = "▁"
@@ -280,6 +281,7 @@ def marked_words(texts: pa.Array) -> pa.ListArray:
 
 
 _LOADED: dict[str, Pieces] = {}
+KEEPING.append(_LOADED)
 
 
 def loaded(path: str) -> Pieces:
@@ -292,7 +294,7 @@ def loaded(path: str) -> Pieces:
 def encoded(batches, path: str, column: str = "text"):
     """(batch, ids of its texts)"""
     model = loaded(path)
-    for b in cut(batches, BATCH, column):
+    for b in cut(batches, BATCH, column, _LOADED):
         yield b, model.encode(b.column(column), model.kept)
 
 

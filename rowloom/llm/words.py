@@ -6,6 +6,9 @@ of words), made from prefix sums, so that every window of a text costs the same
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +18,8 @@ REGION = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: What operators keep in a worker from one task to the next.
+KEEPING: list[dict] = []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -119,8 +124,27 @@ def lists(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def pieces(batches, limit: int = 4 << 20, column: str = "text"):
-    """Record batches cut so that the texts of each hold ``limit`` bytes or so; a longer text comes alone."""
+def let_go(but: dict | None = None) -> None:
+    """Drop what operators keep in this worker, ``but`` that of one, and hand freed memory back: workers outlive operators, and
+    their memory adds up with that of what runs next."""
+    if held := [k for k in KEEPING if k is not but and k]:
+        for k in held:
+            k.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def pieces(batches, limit: int = 4 << 20, column: str = "text", keep: dict | None = None):
+    """Record batches cut so that the texts of each hold ``limit`` bytes or so; a longer text comes alone. What other operators
+    than that of ``keep`` left in the worker goes."""
+    let_go(keep)
+    yield from _cut(batches, limit, column)
+    let_go(keep)
+
+
+def _cut(batches, limit: int, column: str):
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         sums = np.cumsum(sizes)

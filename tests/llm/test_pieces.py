@@ -161,3 +161,15 @@ def test_query(spark, documents, models):
         assert r["n_ids"] == len(ids) and r["ids_sha256"] == hashlib.sha256(array("i", ids).tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest() and r["lossless"] == (library.decode(ids) == t)
     assert op2_sentencepiece(spark, documents([])).count() == 0
+
+
+def test_what_the_encoder_keeps_goes_when_another_operator_runs_in_its_worker():
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["some words"])], ["rank", "key", "text"])
+    for _ in range(2):
+        list(pieces.encoded([batch], pieces.model_path()))
+    assert pieces._LOADED
+    from rowloom.llm.substrings import scan
+
+    list(scan([batch]))
+    assert not pieces._LOADED
