@@ -4,7 +4,7 @@ Each vector starts with the nearest of small blocks as neighbours: (parts of) it
 first round, a block dealt at random, so that the graph hangs together. In a round of NN-descent the neighbours of each vector, in both directions, are compared with each other, pairs of which neither is new
 left out, and each is offered whatever is nearer than its farthest neighbour so far. Rounds go on until few offers are
 taken. A round is done by blocks: vectors of a block have many neighbours in common, so a block fetches each vector that
-its lists name once. So is a hop of the search: queries go to the blocks of the vectors that they meet. A query keeps its nearest WIDTH vectors found, from itself and a few entry points on (so that no
+its lists name once. So is a hop of the search, by shelves (a few blocks beside each other, so that a query travels to few): queries go to the shelves of the vectors that they meet. A query keeps its nearest WIDTH vectors found, from itself and a few entry points on (so that no
 part of the graph is out of reach), looks up the neighbours of those it hasn't looked up yet, and goes on until none is
 left. Rows with equal vectors are one point of the graph. Distances in the graph are in single precision, as they only
 guide the search; those of the result are exact.
@@ -32,6 +32,9 @@ FEW = 0.05
 #: Vectors of a coarse cell on average, of a block at most (on average, too), cells that each is put in, and neighbours
 #: kept of a block dealt at random.
 OCCUPANCY, BLOCK, CELLS, RANDOM = 128, 256, 2, 4
+#: Vectors of a shelf of the search on average, and at most (on average, too). A query meets thousands of points in a hop, spread
+#: over most shelves of a small table, and its vector travels to each: many more points on a shelf than in a block.
+SHELF, FULL = 1024, 2048
 #: Vectors a query keeps (all not yet looked up are looked up in one hop), and the points it begins from besides itself.
 WIDTH, ENTRIES = 320, 32
 #: Points beyond those asked for that are measured exactly, as the search adds up components in another order.
@@ -72,8 +75,8 @@ def exact(batches, width: int):
             yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array(far(as_matrix(b.column("own"), width), as_matrix(b.column("vec"), width)))], ["query", "id", "score"])
 
 
-def put(batches, centres: np.ndarray, width: int):
-    """(id, cell, turn): the CELLS nearest coarse cells of each vector, nearest first."""
+def put(batches, centres: np.ndarray, shelves: np.ndarray, width: int):
+    """(id, cell, turn, shelf): the CELLS nearest coarse cells of each vector, nearest first, and their shelves."""
     for b in batches:
         for at in range(0, b.num_rows, 1024):
             p = b.slice(at, 1024)
@@ -81,7 +84,7 @@ def put(batches, centres: np.ndarray, width: int):
             k = min(CELLS, d.shape[1])
             near = np.argpartition(d, k - 1, axis=1)[:, :k]
             near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
-            yield pa.RecordBatch.from_arrays([p.column("id").take(pa.array(np.repeat(np.arange(p.num_rows), k))), pa.array(near.ravel().astype(np.int64)), pa.array(np.tile(np.arange(k), p.num_rows).astype(np.int32))], ["id", "cell", "turn"])
+            yield pa.RecordBatch.from_arrays([p.column("id").take(pa.array(np.repeat(np.arange(p.num_rows), k))), pa.array(near.ravel().astype(np.int64)), pa.array(np.tile(np.arange(k), p.num_rows).astype(np.int32)), pa.array(shelves[near.ravel()].astype(np.int64))], ["id", "cell", "turn", "shelf"])
 
 
 def single(column: pa.Array, width: int, centre: np.ndarray | None = None) -> np.ndarray:
@@ -180,13 +183,18 @@ def nearest(edges: DataFrame, of: str, k: int) -> DataFrame:
 
 
 def build_graph(points: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """EDGES: near neighbours v of each point u of (id, digest, vec); and (id, vec, block), block its part of its nearest cell."""
+    """EDGES: near neighbours v of each point u of (id, digest, vec); and (id, vec, block, shelf), block its part of its nearest cell, shelf its part
+    of the neighbouring cells that the search takes together."""
     n = points.count()
     centres = codebook(sampled(points, width), min(CENTROIDS, max(1, n // OCCUPANCY)))
-    cells = store(points.select("id", "vec").mapInArrow(lambda it: put(it, centres, width), "id long, cell long, turn int"), "graph-cells")
+    shelves = squared(centres, codebook(centres, max(1, n // SHELF))).argmin(1)
+    cells = store(points.select("id", "vec").mapInArrow(lambda it: put(it, centres, shelves, width), "id long, cell long, turn int, shelf long"), "graph-cells")
     parts = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = cells.join(parts, "cell").select("id", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "turn")
-    home = store(points.select("id", "vec").join(blocks.where("turn = 0").drop("turn"), "id"), "graph-blocks")
+    nearby = cells.where("turn = 0")
+    boards = nearby.groupBy("shelf").agg(F.ceil(F.count("*") / FULL).alias("boards"))
+    shelved = nearby.join(boards, "shelf").select("id", F.xxhash64("shelf", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("boards"))).alias("shelf"))
+    home = store(points.select("id", "vec").join(blocks.where("turn = 0").drop("turn"), "id").join(shelved, "id"), "graph-blocks")
     dealt = points.select("id", F.xxhash64(F.lit(-1), F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(-(-n // BLOCK) or 1))).alias("block"), F.lit(-1).alias("turn"))
     rows = blocks.unionByName(dealt).join(points.select("id", "vec"), "id")
     first = store(together(rows, ["block"]).mapInArrow(lambda it: nearest_inside(it, width), EDGES), "graph-first")
@@ -219,9 +227,9 @@ def descend(graph: DataFrame, home: DataFrame, width: int, beside: DataFrame | N
 
 
 def scored(batches, width: int):
-    """(query, node, d): how far each query is from the points that it meets in a block, the WIDTH nearest of them. Rows of a
-    block: vectors of its points (node), vectors of queries, and which meet."""
-    for g in grouped(batches, ["block"]):
+    """(query, node, d): how far each query is from the points that it meets on a shelf, the WIDTH nearest of them. Rows of a
+    shelf: vectors of its points (node), vectors of queries, and which meet."""
+    for g in grouped(batches, ["shelf"]):
         has = {c: g.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("query", "node")}
         part = lambda query, node: g.filter(pa.array((has["query"] == query) & (has["node"] == node)))  # noqa: B023, E731
         points, queries, met = part(False, True), part(True, False), part(True, True)
@@ -265,23 +273,23 @@ STATE = "query long, ids array<long>, ds array<double>, done array<boolean>, fro
 def search_graph(graph: DataFrame, home: DataFrame, queries: DataFrame, entries: list[int], width: int) -> DataFrame:
     """(query, ids, ds): the nearest points found of each point in ``queries`` (id), itself left out; nearest first."""
     both = graph.select("u", "v").unionByName(nearest(graph, "v", DEGREE).select(F.col("v").alias("u"), F.col("u").alias("v")))
-    placed = home.select(F.col("id").alias("node"), "block")
-    around = both.join(placed.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.collect_set(F.struct(F.col("v").alias("node"), "block")).alias("around"))
+    placed = home.select(F.col("id").alias("node"), "shelf")
+    around = both.join(placed.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.collect_set(F.struct(F.col("v").alias("node"), "shelf")).alias("around"))
     around = store(around, "graph-around")
     asked = store(home.join(queries, "id").select(F.col("id").alias("query"), F.col("vec").alias("vec")), "search-queries")
     state = asked.select("query", *(F.array().cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("ds", "double"), ("done", "boolean"))), F.array("query").alias("front"))
-    first = asked.select("query", F.explode(F.array(*map(F.lit, entries)).cast("array<long>")).alias("node")).join(placed, "node").select("query", "node", "block")
+    first = asked.select("query", F.explode(F.array(*map(F.lit, entries)).cast("array<long>")).alias("node")).join(placed, "node").select("query", "node", "shelf")
     while True:
         # a point met before is in the state, or farther than all that is
         met = state.select("query", F.explode("front").alias("u")).join(around, "u").select("query", F.inline("around"))
         if first is not None:
             met, first = met.unionByName(first), None
-        met = store(met.where("node <> query").distinct().select("block", "query", "node"), "search-met")
+        met = store(met.where("node <> query").distinct().select("shelf", "query", "node"), "search-met")
         none = F.lit(None)
-        points = home.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("block", none.cast("long").alias("query"), F.col("id").alias("node"), "vec")
-        coming = met.select("block", "query").distinct().join(asked, "query").select("block", "query", none.cast("long").alias("node"), "vec")
+        points = home.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("shelf", none.cast("long").alias("query"), F.col("id").alias("node"), "vec")
+        coming = met.select("shelf", "query").distinct().join(asked, "query").select("shelf", "query", none.cast("long").alias("node"), "vec")
         rows = met.withColumn("vec", none.cast("binary")).unionByName(points).unionByName(coming)
-        found = together(rows, ["block"]).mapInArrow(lambda it: scored(it, width), "query long, node long, d double")
+        found = together(rows, ["shelf"]).mapInArrow(lambda it: scored(it, width), "query long, node long, d double")
         found = found.select("query", "node", "d", *(none.cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("ds", "double"), ("done", "boolean"))))
         before = state.select("query", none.cast("long").alias("node"), none.cast("double").alias("d"), "ids", "ds", "done")
         state = store(together(found.unionByName(before), ["query"]).mapInArrow(step, STATE), "search")

@@ -145,3 +145,17 @@ def test_recall_on_many_blocks(spark, monkeypatch):
         d[q] = np.inf
         hits += len({r["vec_id"] for r in out if r["query_id"] == q} & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 150
+
+
+def test_a_query_travels_to_few_shelves(spark, monkeypatch):
+    """Shelves of the search grow with the table as its blocks do, but there are far fewer of them."""
+    monkeypatch.setattr(descent, "OCCUPANCY", 20)
+    monkeypatch.setattr(descent, "SHELF", 300)
+    monkeypatch.setattr(descent, "FULL", 600)
+    monkeypatch.setattr(descent, "ROUNDS", 1)
+    m = np.random.default_rng(6).standard_normal((1500, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    _, points, width = descent.distinct_vectors(df)
+    _, home = descent.build_graph(points, width)
+    blocks, shelves = (home.select(c).distinct().count() for c in ("block", "shelf"))
+    assert home.count() == 1500 and blocks >= 50 and 2 <= shelves <= 10
